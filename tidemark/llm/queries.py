@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, orc_tokens, sharding, simhash
+from tidemark.llm import bitslice, orc_tokens, sharding, simhash, substring_dedup
 from tidemark.llm.common import scratch, table
 
 
@@ -28,13 +28,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bitslice.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_token_orc, op6_sharding, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op4_token_orc, op6_sharding, op9_substring_dedup, op10_bit_sliced_topk)}
 
 
 OP10_SQL = """
