@@ -8,7 +8,8 @@ groups by these statistics and filters without opening their ids.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -16,32 +17,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_width, utf8, word_blocks
+from tidemark.llm.common import cut, shuffle_width, utf8, word_blocks
 
 END = 1
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers at least, and marks that may follow a word.
+REMEMBERED, MARKS = 250_000, b".,!?;:|#$%&*()[]{}\"-+=/"
 #: Ids gathered before a worker hands on a batch.
 HANDED = 1 << 21
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian bytes. The tokenizer never joins across white space, so words stand alone."""
+class _Memory(dict):
+    """What `find` gives, remembered: the last REMEMBERED keys at least, twice as many at most."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        self.find, self.older = find, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        self[key] = found = self.find(key) if found is None else found
+        return found
+
+
+class _Words:
+    """Word -> its ids as little-endian bytes. The tokenizer never joins across white space, so words stand alone; nor
+    does it join a letter or number with the ASCII marks after it, and it puts letters in lower case, so words that
+    differ in these alone are encoded once. Texts that may spell a special token are left as they are."""
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        self.cores, self.words = _Memory(self._encoded), _Memory(self._word)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
-        return found
+    def _encoded(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if core == word or not core or b"<|" in word or not core.decode("utf-8", "replace")[-1].isalnum():
+            return self.cores[word]
+        return self.cores[core] + self.cores[word[len(core) :]]
 
     def encode(self, data: bytes) -> bytes:
-        return b"".join(b"".join(map(self.__getitem__, words)) for words in word_blocks(data))
+        data = data if b"<|" in data else data.lower()
+        return b"".join(b"".join(map(self.words.__getitem__, words)) for words in word_blocks(data))
+
+
+@lru_cache(maxsize=2)
+def _words(source: str) -> _Words:
+    """One for each worker process, whichever tasks it runs."""
+    return _Words(source)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END) -> DataFrame:
@@ -52,7 +80,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kind = data.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(source.value)
+        words = _words(source.value)
         for batch in batches:
             at, found, size = 0, [], 0
             for i, x in enumerate(batch.column(1)):
@@ -96,7 +124,7 @@ def summary(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame
             crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["id", "part", "n", "crc"])
 
-    rows = stored.mapInArrow(run, f"id {kind}, part int, n long, crc long")
+    rows = cut(stored.mapInArrow(run, f"id {kind}, part int, n long, crc long"))
     parts = rows.groupBy("part").agg(F.sum("n").alias("held"))
     before = parts.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))  # a row per file
     within = F.sum("n").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
