@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, orc_tokens, sharding, simhash, substring_dedup
+from tidemark.llm import bitslice, orc_tokens, sharding, simhash, substring_dedup, suffix_dedup
 from tidemark.llm.common import scratch, table
 
 
@@ -23,6 +23,10 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.summary(spark, path)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(table(spark, sf_dir, "documents"), scratch(spark, "slots"), 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,7 +42,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_token_orc, op6_sharding, op9_substring_dedup, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op4_token_orc, op5_suffix_dedup, op6_sharding, op9_substring_dedup, op10_bit_sliced_topk)}
 
 
 OP10_SQL = """

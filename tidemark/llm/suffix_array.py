@@ -122,11 +122,12 @@ def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each position: the suffix just before it in the array (-1: none), and how many bytes they share, up to `most`.
 
     Where the position before shares a byte with the suffix before that one, the number is one less; only the other
-    positions are compared, eight bytes at a time.
+    positions, and `starts`, are compared, eight bytes at a time. What a compared position counts past `most` is missing
+    from those that follow it, up to the next.
     """
     n = len(sa)
     before = np.full(n, -1, np.int64)
@@ -136,6 +137,8 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndar
     for j in range(8):
         words |= padded[j : j + len(words)].astype(np.uint64) << np.uint64(8 * j)
     led = np.r_[True, (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (t[:-1] != t[before[:-1]])]
+    if starts is not None:
+        led[starts] = True
     heads = np.flatnonzero(led)
     shared = np.zeros(len(heads), np.int64)
     live, at = np.flatnonzero(before[heads] >= 0), 0
