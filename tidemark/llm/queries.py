@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, orc_tokens, sharding, simhash, substring_dedup, suffix_dedup
+from tidemark.llm import bitslice, langid, orc_tokens, sharding, simhash, substring_dedup, suffix_dedup
 from tidemark.llm.common import scratch, table
 
 
@@ -15,6 +15,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out("doc_id"))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +49,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_token_orc, op5_suffix_dedup, op6_sharding, op9_substring_dedup, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_token_orc, op5_suffix_dedup, op6_sharding, op9_substring_dedup, op10_bit_sliced_topk)}
 
 
 OP10_SQL = """
