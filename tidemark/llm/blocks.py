@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from tidemark.llm.common import utf8
 
 #: Text bytes that a group is meant to hold, and that are hashed at a time.
 GROUP_BYTES, PIECE = 8 << 20, 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 4096
 BASE = 0x9E3779B97F4A7C15
 OTHER = 0xD6E8FEB86659FD93
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
@@ -37,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
 
@@ -78,7 +81,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     def take() -> None:
         if held:
-            h, starts = _words_of(b" ".join(p for _, p in held))
+            h, starts, _ = words_of(b" ".join(p for _, p in held))
             offsets = np.cumsum([0, *(len(p) + 1 for _, p in held)])
             found.append(h)
             owner.append(np.array([i for i, _ in held], np.int32)[np.searchsorted(offsets, starts, "right") - 1])
@@ -94,15 +97,49 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found), np.concatenate(owner)) if found else (np.empty(0, np.uint64), np.empty(0, np.int32))
 
 
-def _words_of(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    b = np.frombuffer(block, np.uint8)
-    inside = np.r_[False, ~_SPACE[b], False]
+def words_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a block's words, and where they start and end."""
+    inside = np.r_[False, ~_SPACE[np.frombuffer(block, np.uint8)], False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    room = max(2 * PIECE, 1 << len(b).bit_length())
-    sums = np.r_[np.uint64(0), np.cumsum((b + np.uint64(1)) * powers(BASE, room)[: len(b)])]
-    inverse = powers(pow(BASE, -1, 1 << 64), room)
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    return slice_hashes(block, edges[::2], edges[1::2]), edges[::2], edges[1::2]
+
+
+def eights(block: bytes) -> np.ndarray:
+    """The eight bytes from each place of the block, as one number; zeros follow its end."""
+    return np.ndarray((len(block) + 1,), "<u8", buffer=block + bytes(8), strides=(1,))
+
+
+def slice_hashes(block: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each slice, taken in eight at a time."""
+    lengths, at = ends - starts, 0
+    h, words = mixed(lengths.astype(np.uint64) + np.uint64(BASE)), eights(block)
+    live = np.flatnonzero(lengths <= LONG_WORD)
+    while len(live):
+        h[live] = mixed(h[live] * np.uint64(OTHER) ^ (words[starts[live] + at] & _mask(lengths[live] - at)))
+        live = live[lengths[live] > at + 8]
+        at += 8
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(block[starts[i] : ends[i]])
+    return h
+
+
+def _mask(left: np.ndarray) -> np.ndarray:
+    return ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.clip(left, 1, 8).astype(np.uint64))
+
+
+def same_slices(block: bytes, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether each slice has the same bytes as slice number like[i]."""
+    lengths, at, words = ends - starts, 0, eights(block)
+    same = lengths == lengths[like]
+    live = np.flatnonzero(same & (lengths <= LONG_WORD))
+    while len(live):
+        x, y = words[starts[live] + at], words[starts[like[live]] + at]
+        same[live] &= ((x ^ y) & _mask(lengths[live] - at)) == 0
+        live = live[lengths[live] > at + 8]
+        at += 8
+    for i in np.flatnonzero(same & (lengths > LONG_WORD)):
+        same[i] = block[starts[i] : ends[i]] == block[starts[like[i]] : ends[like[i]]]
+    return same
 
 
 def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,8 @@ groups by these statistics and filters without opening their ids.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -14,26 +16,41 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shuffle_width, utf8, word_blocks
+from tidemark.llm.blocks import pieces, same_slices, slice_hashes
+from tidemark.llm.common import cut, shuffle_width, utf8
 
 END = 1
-#: Words whose ids a worker remembers at least, and marks that may follow a word.
-REMEMBERED, MARKS = 250_000, b".,!?;:|#$%&*()[]{}\"-+=/"
-#: Ids gathered before a worker hands on a batch.
-HANDED = 1 << 21
+#: Words that a worker remembers at least.
+WORDS = 500_000
+#: Bytes by kind (white space 0, marks 2, others 1), and those that are letters or numbers by themselves or after C3.
+KIND = np.ones(256, np.uint8)
+KIND[list(b" \t\n\v\f\r")], KIND[list(b".,!?;:|#$%&*()[]{}\"-+=/")] = 0, 2
+LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+COMPOSED = (np.arange(256) >= 0x9F) & (np.arange(256) <= 0xBF) & (np.arange(256) != 0xB7)
+#: Words of lower-case Latin letters in composed form, which normalising leaves as they are.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level models write bytes: printable ones stand for themselves, the others follow at 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+#: Bytes of text whose words are looked up together.
+BLOCK = 4 << 20
 
 
 class _Memory(dict):
-    """What `find` gives, remembered: the last REMEMBERED keys at least, twice as many at most."""
+    """What `find` gives, remembered: the last `most` keys at least, twice as many at most."""
 
-    def __init__(self, find: Callable[[bytes], bytes]):
-        self.find, self.older = find, {}
+    def __init__(self, find: Callable[[bytes], bytes], most: int):
+        self.find, self.most, self.older = find, most, {}
 
     def __missing__(self, key: bytes) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         found = self.older.get(key)
@@ -42,28 +59,77 @@ class _Memory(dict):
 
 
 class _Words:
-    """Word -> its ids as little-endian bytes. The tokenizer never joins across white space, so words stand alone; nor
-    does it join a letter or number with the ASCII marks after it, and it puts letters in lower case, so words that
-    differ in these alone are encoded once. Texts that may spell a special token are left as they are."""
+    """Ids of texts, for which each different word is encoded once.
+
+    The tokenizer never joins across white space, nor a letter or number with the ASCII marks beside it, and it puts
+    letters in lower case. So texts fall into words and runs of marks that stand alone, but for texts that may spell a
+    special token; these are encoded as they are.
+    """
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.cores, self.words = _Memory(self._encoded), _Memory(self._word)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words = _Memory(self._encoded, WORDS)
 
     def _encoded(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        core = word.rstrip(MARKS)
-        if core == word or not core or b"<|" in word or not core.decode("utf-8", "replace")[-1].isalnum():
-            return self.cores[word]
-        return self.cores[core] + self.cores[word[len(core) :]]
-
-    def encode(self, data: bytes) -> bytes:
-        data = data if b"<|" in data else data.lower()
-        return b"".join(b"".join(map(self.words.__getitem__, words)) for words in word_blocks(data))
+        if PLAIN.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with the end id, and how many each has."""
+        held, size, out = [], 0, [[] for _ in texts]
+        special = {i for i, t in enumerate(texts) if b"<|" in t}
+        for i in special:
+            out[i].append(np.frombuffer(self._encoded(texts[i]), "<u4"))
+        for i, piece in pieces([b"" if i in special else t.lower() for i, t in enumerate(texts)]):
+            held.append((i, piece))
+            size += len(piece) + 1
+            if size >= BLOCK:
+                self._block(held, out)
+                held, size = [], 0
+        self._block(held, out)
+        ends = np.array([end], np.uint32)
+        sizes = np.array([sum(map(len, x)) + 1 for x in out], np.int64)
+        return np.concatenate([y for x in out for y in (*x, ends)] or [ends[:0]]), sizes
+
+    def _block(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
+        """Each different word of the block is looked up once."""
+        block = b" ".join(p for _, p in held)
+        starts, ends = _cut(np.frombuffer(block, np.uint8))
+        if not len(starts):
+            return
+        _, first, inverse = np.unique(slice_hashes(block, starts, ends), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~same_slices(block, starts, ends, first[inverse]))
+        inverse[odd], first = len(first) + np.arange(len(odd)), np.r_[first, odd]  # words whose hash another has
+        found = [self.words[block[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        n = sizes[inverse]
+        done = np.cumsum(n)
+        values = ids[np.repeat((np.cumsum(sizes) - sizes)[inverse] - (done - n), n) + np.arange(done[-1])]
+        offsets = np.cumsum([len(p) + 1 for _, p in held[:-1]])
+        cuts = np.r_[0, done][np.searchsorted(starts, offsets)]
+        for (i, _), part in zip(held, np.split(values, cuts)):
+            out[i].append(part)
+
+
+def _cut(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words and runs of marks start and end that stand alone."""
+    kind, known = KIND[b], LETTER[b]
+    composed = np.r_[False, (b[:-1] == 0xC3) & COMPOSED[b[1:]]]  # second bytes of Latin letters
+    before = known | composed  # the byte ends a letter or number
+    after = known | np.r_[composed[1:], False]  # the byte begins one
+    mark = kind == 2
+    apart = np.r_[False, (mark[1:] & before[:-1]) | (mark[:-1] & ~mark[1:] & after[1:])]
+    inside = kind > 0
+    last = np.r_[False, inside[:-1]]
+    starts = np.flatnonzero(inside & (~last | apart))
+    ends = np.flatnonzero(np.r_[last & (~inside | apart), inside[-1:]])
+    return starts, ends
 
 
 @lru_cache(maxsize=2)
@@ -75,22 +141,20 @@ def _words(source: str) -> _Words:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END) -> DataFrame:
     """(id_col, ids array<int>) of each row in the order it has; a null or empty text has the end id alone."""
     source = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())  # one vocabulary file
-    end = np.array([end_id], "<u4").tobytes()
     data = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
     kind = data.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(source.value)
         for batch in batches:
-            at, found, size = 0, [], 0
-            for i, x in enumerate(batch.column(1)):
-                found.append(words.encode(x.as_py() or b"") + end)
-                size += len(found[-1]) // 4
-                if size > HANDED or i + 1 == batch.num_rows:
-                    offsets = np.r_[0, np.cumsum([len(y) // 4 for y in found])].astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                    yield pa.record_batch([batch.column(0).slice(at, i + 1 - at), ids], names=["id", "ids"])
-                    at, found, size = i + 1, [], 0
+            sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0), np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK)))
+                values, counts = words.encode([x.as_py() or b"" for x in batch.column(1).slice(at, to - at)], end_id)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values.view(np.int32)))
+                yield pa.record_batch([batch.column(0).slice(at, to - at), ids], names=["id", "ids"])
+                at = to
 
     return data.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
