@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, langid, orc_tokens, sharding, simhash, substring_dedup, suffix_dedup
+from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, sharding, simhash, substring_dedup, suffix_dedup
 from tidemark.llm.common import scratch, table
 
 
@@ -39,6 +39,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_token_orc, op5_suffix_dedup, op6_sharding, op9_substring_dedup, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op9_substring_dedup, op10_bit_sliced_topk)}
 
 
 OP10_SQL = """
