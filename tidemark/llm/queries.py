@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, sharding, simhash, substring_dedup, suffix_dedup
+from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, sharding, simhash, substring_dedup, suffix_dedup
 from tidemark.llm.common import scratch, table
 
 
@@ -43,6 +43,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op9_substring_dedup, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk)}
 
 
 OP10_SQL = """
