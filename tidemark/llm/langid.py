@@ -120,9 +120,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """docs' columns and lang_pred, score, rejected.
 
     The score is the cosine with the nearest centroid, from 0 to 1. Texts that are null or have no letter are `und` with
-    score 0 and rejected; so is everything if the model knows no language. Repeated rows get the same answer each.
+    score 0 and rejected; so is everything if the model knows no language. Repeated rows get the same answer each;
+    columns of docs that have the new names give way.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids for each language
+    docs = docs.drop("lang_pred", "score", "rejected")
     keys, text = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

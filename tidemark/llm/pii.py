@@ -167,8 +167,9 @@ def replaced(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id", tex
     """docs with entities in text_col replaced, and the column n_entities.
 
     Null and empty texts stay as they are, as do texts without entities. Rows are never dropped or merged; repeated rows
-    get the same text each. The key decides all surrogates.
+    get the same text each. The key decides all surrogates. A column n_entities that docs has gives way.
     """
+    docs = docs.drop("n_entities")
     moved, n = redrawn(docs, key, text_col)
     found = docs.withColumn("__found", detected(docs, text_col)).withColumn("__draws", F.lit(None).cast("map<int,int>"))
     if n:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, sharding, simhash, substring_dedup, suffix_dedup
+from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, sharding, simhash, spiece, substring_dedup, suffix_dedup
 from tidemark.llm.common import scratch, table
 
 
@@ -22,6 +22,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = spiece.decode(spiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return found.select("doc_id", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.expr("decoded = coalesce(text, '')").alias("round_trip"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +65,7 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk)}
 
 
 OP10_SQL = """
