@@ -59,4 +59,4 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id or 0, r.item_id) for r in decontaminate.matches(docs, bench).collect()))
     assert got == [(0, 10), (4, 9), (4, 9)]
     assert decontaminate.matches(docs.limit(0), bench).count() == 0 == decontaminate.matches(docs, bench.limit(0)).count()
-    assert decontaminate.clean(docs, bench).count() == 4
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 2, 3]

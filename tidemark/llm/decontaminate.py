@@ -144,29 +144,47 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     schema = f"id {kind}, item {item_kind}, begin long, `end` long, edits int"
     out, arrow_item = docs.sparkSession.createDataFrame([], schema), to_arrow_type(benchmark.schema[item_col].dataType)
 
-    for n, held in enumerate(_passes(benchmark, item_col, item_text)):
-        sent = docs.sparkSession.sparkContext.broadcast(_Items([i for i, _ in held], [t for _, t in held], q, rate))
+    for n, sent in enumerate(_sent(docs, benchmark, item_col, item_text, q, rate)):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
             for batch in batches:
-                rows: list[tuple] = []
-                at, texts, size = 0, [], 0
-                for i, x in enumerate(batch.column(1)):
-                    texts.append(plain(x.as_py() or "", True))
-                    size += len(texts[-1])
-                    if size >= BLOCK or i + 1 == batch.num_rows:
-                        rows += [(at + t, items.ids[j], b, e, k) for t, j, b, e, k in items.found(texts)]
-                        at, texts, size = i + 1, [], 0
+                rows = list(_found(batch.column(1), sent.value))
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows], k) for c, k in ((1, arrow_item), (2, pa.int64()), (3, pa.int64()), (4, pa.int32())))], names=["id", "item", "begin", "end", "edits"])
+                held = [pa.array([r[c] for r in rows], k) for c, k in ((1, arrow_item), (2, pa.int64()), (3, pa.int64()), (4, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([ids, *held], names=["id", "item", "begin", "end", "edits"])
 
         found = source.mapInArrow(run, schema)
         out = found if not n else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item. Rows with null ids stay."""
-    held = matches(docs, benchmark, id_col, text_col, **how).select(F.col(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(docs.columns)
+def _sent(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, q: int, rate: float) -> Iterator:
+    for held in _passes(benchmark, item_col, item_text):
+        yield docs.sparkSession.sparkContext.broadcast(_Items([i for i, _ in held], [t for _, t in held], q, rate))
+
+
+def _found(column: pa.Array, items: _Items) -> Iterator[tuple]:
+    """(row, item id, begin, end, edits) of the matches in a column of texts."""
+    at, texts, size = 0, [], 0
+    for i, x in enumerate(column):
+        texts.append(plain(x.as_py() or "", True))
+        size += len(texts[-1])
+        if size >= BLOCK or i + 1 == len(column):
+            for t, j, begin, end, edits in items.found(texts):
+                yield at + t, items.ids[j], begin, end, edits
+            at, texts, size = i + 1, [], 0
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item. Null and empty texts stay."""
+    text = docs.columns.index(text_col)
+    for sent in _sent(docs, benchmark, item_col, item_text, q, rate):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[r[0] for r in _found(batch.column(text), sent.value)]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

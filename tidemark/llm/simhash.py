@@ -159,3 +159,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tied = least.join(roots, F.col("simhash") == F.col("node"), "left").select("simhash", "own", F.coalesce("root", "simhash").alias("root"))
     named = tied.select("simhash", "root").join(tied.groupBy("root").agg(F.min("own").alias("component_id")), "root").select("simhash", "component_id")
     return fps.join(named, "simhash").select(id_col, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, blocks: int = 9) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one with the least id.
+
+    Rows without an id stay, as nothing tells them apart; of rows with the same id one stays.
+    """
+    groups = cut(near_duplicates(docs, id_col, text_col, shingle, radius, blocks).select(id_col, "component_id"))
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    again = cut(again)
+    once = kept.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").select(docs.columns).unionByName(once)
