@@ -9,10 +9,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import utf8
+from tidemark.llm.common import shuffle_width, utf8
 
 #: Text bytes that a group is meant to hold, and that are hashed at a time.
 GROUP_BYTES, PIECE = 8 << 20, 1 << 20
@@ -33,6 +33,11 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_
     return data.select(grp.alias("grp"), "id", F.coalesce("data", F.lit(b"")).alias("data")), groups
 
 
+def parts(spark: SparkSession, groups: int) -> int:
+    """Shuffle partitions for so many groups or buckets, which each take a task some seconds."""
+    return max(shuffle_width(spark), min(groups, 50_000))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """x with every bit depending on all others."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -106,10 +106,9 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     rows = rows.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull())
     df, n = _frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = F.least(F.lit(1.0), sample / F.col("n"))
-    of_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", share.alias("share"))
-    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
-    some = rows.join(of_lang, "lang").where(chance < F.col("share")).select("lang", "text")
+    shares = {r.lang: min(1.0, sample / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang")) if shares else F.lit(1.0)
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20) < share).select("lang", "text")
     found = some.groupBy("lang").applyInArrow(lambda t: _clustered(t, idf, clusters), "lang string, centroid binary, least double").collect()
     found.sort(key=lambda r: (r.lang, r.centroid))
     matrix = np.stack([np.frombuffer(r.centroid, "<f4") for r in found]) if found else np.zeros((0, 1 << BITS), np.float32)

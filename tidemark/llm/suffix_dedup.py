@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from tidemark.llm.blocks import BASE, OTHER, PIECE, bucket_bounds, column_bytes, dealt, mixed, powers
+from tidemark.llm.blocks import BASE, OTHER, PIECE, bucket_bounds, column_bytes, dealt, mixed, parts, powers
 from tidemark.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, ANCHOR = 400, 96
@@ -108,17 +108,17 @@ def _parts(bounds: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _binary(values: np.ndarray, parts: list[slice]) -> pa.Array:
-    return pa.array([values[p].tobytes() for p in parts], pa.binary())
+def _binary(values: np.ndarray, each: list[slice]) -> pa.Array:
+    return pa.array([values[p].tobytes() for p in each], pa.binary())
 
 
 def _anchors(table: pa.Table, length: int, anchor: int, buckets: int) -> pa.Table:
     """A group's different anchors and contexts, for each bucket of anchors."""
     _, key, context, again = _keys(table["data"].to_pylist(), length, anchor)
     bucket, bounds = bucket_bounds(key, buckets)
-    parts = _parts(bounds)
+    each = _parts(bounds)
     grp = pa.array(np.full(len(bucket), table["grp"][0].as_py(), np.int32))
-    return pa.table({"bucket": pa.array(bucket), "grp": grp, "key": _binary(key, parts), "context": _binary(context, parts), "again": _binary(again.astype(np.uint8), parts)})
+    return pa.table({"bucket": pa.array(bucket), "grp": grp, "key": _binary(key, each), "context": _binary(context, each), "again": _binary(again.astype(np.uint8), each)})
 
 
 class _Judged:
@@ -149,8 +149,7 @@ def _codes(table: pa.Table) -> pa.Table:
     several = x.different[x.number] > 1
     hot = x.different[x.number] > MOST_CONTEXTS
     codes = ((several & ~hot & x.first) + 2 * hot + 4 * (x.times[x.number] > 1)).astype(np.uint8)
-    parts = _parts(np.r_[0, np.cumsum(x.sizes)])
-    return pa.table({"grp": table["grp"], "bucket": table["bucket"], "codes": _binary(codes, parts)})
+    return pa.table({"grp": table["grp"], "bucket": table["bucket"], "codes": _binary(codes, _parts(np.r_[0, np.cumsum(x.sizes)]))})
 
 
 SENT = "bucket int, kind int, grp int, key binary, context binary, count binary, data binary"
@@ -336,6 +335,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     kind = texts.schema["id"].dataType.simpleString()
     by_group = texts.groupBy("grp")
     anchors = by_group.applyInArrow(lambda t: _anchors(t, length, anchor, groups), "bucket int, grp int, key binary, context binary, again binary")
+    anchors = anchors.repartition(parts(docs.sparkSession, groups), "bucket")  # as a bucket's work is more than its bytes tell
     codes = anchors.groupBy("bucket").applyInArrow(_codes, "grp int, bucket int, codes binary")
     sent = by_group.cogroup(codes.groupBy("grp")).applyInArrow(lambda t, c: _sent(t, c, length, anchor, groups), SENT)
     answers = anchors.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(lambda a, s: _shard(a, s, length, anchor), "grp int, kind int, key binary, context binary, bits binary")
