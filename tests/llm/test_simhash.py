@@ -55,6 +55,27 @@ def test_links_hold_together_planted_chains(spark):
     assert len(roots) == len(signed) and len({r.root for r in roots}) == 1
 
 
+def test_one_of_each_of_similar_texts(spark):
+    """Texts of known similarity: copies of 0.9 and over are found, those under 0.6 stay."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in rng.integers(0, 50_000, 400 * 60)]
+    rows, near, far = [], [], []
+    for d in range(60):
+        text = words[d * 400 : d * 400 + 400]
+        rows.append((d, " ".join(text)))
+        for k, (edits, kept) in enumerate(((3, near), (30, far))):
+            copy = list(text)
+            for at in np.linspace(5, 390, edits).astype(int):
+                copy[at] = f"x{at}"
+            kept.append(1000 * (k + 1) + d)
+            rows.append((kept[-1], " ".join(copy)))
+    rows += [(5000 + i, rows[0][1]) for i in range(40)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, w0 int, own int")
+    left = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert {*range(60)} <= left and {*far} <= left and not any(i >= 5000 for i in left)
+    assert len(left & {*near}) <= 3
+
+
 def test_large_cell_keeps_every_group():
     base = np.uint64(0x123456789ABCDEF0)
     fp = np.unique(np.array([base ^ np.uint64(1 << i) ^ np.uint64(1 << j) for i in range(20) for j in range(20, 40)], np.uint64))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shuffle_width, utf8
 
 #: Text bytes that a group is meant to hold, and that are hashed at a time.
-GROUP_BYTES, PIECE = 8 << 20, 1 << 20
+GROUP_BYTES, PIECE = 4 << 20, 1 << 20
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 4096
 BASE = 0x9E3779B97F4A7C15

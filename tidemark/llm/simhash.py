@@ -10,6 +10,7 @@ what passes is verified exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +26,7 @@ from tidemark.llm.components import components
 SEED = 42
 ODD = 0x5555555555555555
 #: Cells of up to so many fingerprints are compared by offsets, all cells at once.
-SMALL_CELL = 32
+LARGE_CELL = 1024
 #: Shingles hashed at a time.
 HASHED = 65_536
 
@@ -77,12 +78,12 @@ def embedding(fp: Column) -> Column:
     return any_.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _grids(radius: int, blocks: int) -> list[int]:
-    """A mask over the embedding for each choice of blocks that may be untouched."""
+def _grids(untouched: int, blocks: int) -> list[int]:
+    """A mask over the embedding for each choice of so many blocks."""
     edges = [round(i * 32 / blocks) for i in range(blocks + 1)]
     masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(masks, blocks - radius)]
+    return [signed(sum(c)) for c in combinations(masks, untouched)]
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -98,19 +99,27 @@ def _embedded(x: np.ndarray) -> np.ndarray:
 
 
 def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join whatever is joined within each cell; cell is in order. A large cell gets a spanning forest, so
-    its links grow with its size and not with the square."""
+    """Links that join whatever is joined within each cell; cell is in order. Where there are more links than a few for
+    each row, and in large cells, a cell gets a spanning forest, so its links grow with its size and not the square."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
-    small = np.repeat((sizes > 1) & (sizes <= SMALL_CELL), sizes)
-    c, f = cell[small], fp[small]
-    for by in range(1, SMALL_CELL):
+    some = np.repeat((sizes > 1) & (sizes <= LARGE_CELL), sizes)
+    c, f = cell[some], fp[some]
+    found, n, by = [], 0, 1
+    while by < len(c) and n <= 2 * len(c):
         same = np.flatnonzero(c[by:] == c[:-by])
         if not len(same):
             break
         same = same[_near(f[same], f[same + by], radius)]
-        yield f[same], f[same + by]
-    for at, size in zip(starts[sizes > SMALL_CELL], sizes[sizes > SMALL_CELL]):
+        found.append((f[same], f[same + by]))
+        n += len(same)
+        by += 1
+    forest = sizes > LARGE_CELL
+    if n > 2 * len(c):
+        forest |= sizes > 1
+    else:
+        yield from found
+    for at, size in zip(starts[forest], sizes[forest]):
         left = fp[at : at + size]
         while len(left):
             reached, left = [left[:1]], left[1:]
@@ -123,10 +132,14 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple
                         left = left[~near]
 
 
-def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b) pairs of different fingerprints whose links join all that lie within the radius of one another."""
+def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks: int = 6, untouched: int | None = None) -> DataFrame:
+    """(a, b) pairs of different fingerprints whose links join all that lie within the radius of one another.
+
+    By default the grids leave no such pair out. With a number of untouched blocks over blocks - radius they are fewer and
+    finer: pairs up to blocks - untouched bits apart are all found, those from there to the radius mostly.
+    """
     embedded = distinct.select(F.col(fp_col).alias("fp"), embedding(F.col(fp_col)).alias("e"))
-    cells = F.array(*(F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(_grids(radius, blocks))))
+    cells = F.array(*(F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(_grids(blocks - radius if untouched is None else untouched, blocks))))
     rows = embedded.select(F.explode(cells).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +174,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "simhash").select(id_col, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, blocks: int = 9) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the least id.
+WIDE = 4
+#: Bits of the first of the four fingerprints that candidates may differ in.
+CANDIDATE = 14
+
+
+def _sketch(data: bytes, shingle: int) -> list[int]:
+    """Four fingerprints of a text's word shingles, by two hashes of 128 bits; the shingles count once for each place."""
+    ones, total, carry, first = np.zeros(64 * WIDE, np.int64), 0, [], True
+    for words in word_blocks(data.lower()):
+        words = carry + words
+        for at in range(0, len(words) - shingle + 1, HASHED):
+            part = words[at : at + HASHED + shingle - 1]
+            ones += _wide_ones(part, shingle)
+            total += len(part) - shingle + 1
+        first &= len(words) < shingle
+        carry = words[-(shingle - 1) :] if shingle > 1 else []
+    if first and carry:
+        total, ones = 1, _wide_ones(carry, len(carry))
+    return np.packbits(ones * 2 > total).view(">i8").tolist()
+
 
-    Rows without an id stay, as nothing tells them apart; of rows with the same id one stays.
+def _wide_ones(words: list[bytes], n: int) -> np.ndarray:
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: len(words) - n] + 1).tolist()]
+    parts = [joined[s:e] for s, e in zip(starts, ends[n - 1 :].tolist())]
+    each = [np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, seed) for p in parts]), np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for seed in range(WIDE // 2)]
+    return np.concatenate(each)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, w0, w1, w2, w3) for each row."""
+    source = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
+    names = ["id", *(f"w{i}" for i in range(WIDE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([_sketch(x.as_py() or b"", shingle) for x in batch.column(1)], np.int64).reshape(-1, WIDE)
+            yield pa.record_batch([batch.column(0), *(pa.array(found[:, i]) for i in range(WIDE))], names=names)
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, blocks: int = 10, untouched: int = 3) -> DataFrame:
+    """(id_col, component_id) for each row with an id: the least id of the texts joined by links of at least the similarity.
+
+    The similarity is that of the shingle sets, as four fingerprints of 64 bits show it: sets of similarity s differ in
+    arccos(2 s / (1 + s)) / pi of the bits on average. Candidates are links between the first fingerprints on the grids;
+    all 256 bits decide.
+    """
+    limit = int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    wide = [f"w{i}" for i in range(WIDE)]
+    rows = cut(sketches(docs, id_col, text_col, shingle).where("id IS NOT NULL"))
+    own = rows.groupBy(*wide).agg(F.min("id").alias("own"))
+    heads = own.groupBy("w0").agg(F.min_by(F.struct("own", *wide), "own").alias("h")).select(F.col("w0").alias("simhash"), "h")
+    apart = lambda a, b: sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in wide[1:]), F.bit_count(a("w0").bitwiseXOR(b("w0"))))
+    pairs = links(heads, "simhash", CANDIDATE, blocks, untouched).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    a, b = heads.select(F.col("simhash").alias("a"), F.col("h").alias("ha")), heads.select(F.col("simhash").alias("b"), F.col("h").alias("hb"))
+    found = pairs.join(a, "a").join(b, "b").where(apart(lambda w: F.col(f"ha.{w}"), lambda w: F.col(f"hb.{w}")) <= limit).select(F.col("ha.own").alias("x"), F.col("hb.own").alias("y"))
+    equal = own.join(heads, F.col("w0") == F.col("simhash")).where((F.col("own") != F.col("h.own")) & (apart(F.col, lambda w: F.col(f"h.{w}")) <= limit)).select(F.col("own").alias("x"), F.col("h.own").alias("y"))
+    roots = components(found.union(equal), "x", "y")
+    named = own.join(roots, F.col("own") == F.col("node"), "left").select(*wide, F.coalesce("root", "own").alias("component_id"))
+    return rows.join(named, wide).select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts, the one with the least id.
+
+    Rows without an id stay, as nothing tells them apart; of rows with the same id one stays. Texts without words are
+    alike. Columns of any name but id_col and text_col go through untouched.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col, shingle, radius, blocks).select(id_col, "component_id"))
+    groups = cut(similar_groups(docs, id_col, text_col, shingle, similarity))
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    again = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col)
+    again = groups.groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col)
     if again.isEmpty():
         return kept
     again = cut(again)

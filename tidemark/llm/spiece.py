@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tidemark.llm.common import shuffle_width
+
 GIANT, CHUNK = 65_536, 16_384
 SPACE = "▁"
-#: Letters of ordinary texts that are encoded at a time.
-BATCH = 1 << 20
+#: Letters of ordinary texts that are encoded at a time, and pairs of pieces that a worker remembers.
+BATCH, PAIRS = 1 << 19, 200_000
 
 
 class Vocabulary:
@@ -63,7 +65,7 @@ class Vocabulary:
         """Whether the pieces a and b stay apart and whole side by side."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = found = self.merged(a + b) == [a, b]
         return found
@@ -168,12 +170,13 @@ def _scan(table: pa.Table) -> pa.Table:
 
 def _giant(texts: DataFrame, proto, chunk: int) -> DataFrame:
     """(key, ids) of different giant texts (key, text)."""
+    tasks = shuffle_width(texts.sparkSession)  # as a chunk's work is more than its bytes tell
     longest = 64  # letters of context on both sides; no piece is longer
     s = texts.select("key", normalised(F.col("text")).alias("s")).withColumn("n", F.length("s"))
     begin = F.col("chunk") * chunk
     rows = s.withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / chunk).cast("int")))).select(
         "key", "chunk", F.greatest(begin - longest, F.lit(0)).alias("from"), F.least(begin + chunk, "n").alias("to"), (begin + chunk >= F.col("n")).alias("last"), F.substr("s", F.greatest(begin - longest, F.lit(0)) + 1, F.lit(chunk + 2 * longest)).alias("part")
-    ).repartition("key", "chunk")
+    ).repartition(tasks, "key", "chunk")
 
     def place(r: dict) -> tuple[str, int, int, bool]:
         return r["part"], r["chunk"] * chunk - r["from"], r["to"] - r["from"], r["last"]
@@ -192,7 +195,7 @@ def _giant(texts: DataFrame, proto, chunk: int) -> DataFrame:
             yield pa.record_batch([batch["key"], batch["chunk"], pa.array(found, pa.list_(pa.int32()))], names=["key", "chunk", "ids"])
 
     states = rows.mapInArrow(matrices, "key string, chunk int, entries int, exits int, matrix binary").groupBy("key").applyInArrow(_scan, "key string, chunk int, entry int, exit int")
-    traced = rows.join(states, ["key", "chunk"]).mapInArrow(traces, "key string, chunk int, ids array<int>")
+    traced = rows.join(states, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(traces, "key string, chunk int, ids array<int>")
     in_order = F.array_sort(F.collect_list(F.struct("chunk", "ids")))  # of one text
     return traced.groupBy("key").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
 

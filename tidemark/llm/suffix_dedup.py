@@ -28,7 +28,7 @@ from tidemark.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, ANCHOR = 400, 96
 #: Different contexts of one anchor that a shard takes, and bytes that are sorted at a time.
-MOST_CONTEXTS, SORTED = 2_000, 3 << 20
+MOST_CONTEXTS, SORTED = 2_000, 2 << 20
 END = 0xFF
 PARTIAL, WHOLE, SINGLE = 0, 1, 2
 
