@@ -74,3 +74,21 @@ def test_stream_state_equals_batch(spark, tmp_path, files):
     got = {(r.c, r.batch): r.multiplier for r in adaptive.drained(stream, f"t{files}", str(tmp_path / "cp")).collect()}
     want = series.adaptive_multiplier(df, "c", "batch", "e", 20, 5, 4, F.lit(0.7), F.lit(0.5), F.lit(3.0)).collect()
     assert got.keys() == {(r.c, r.batch) for r in want} and all(abs(got[r.c, r.batch] - r.multiplier) < 1e-9 for r in want)
+
+
+def test_throughput_counts_the_rows_of_a_stream(spark, tmp_path):
+    import time
+
+    from tidemark.streaming.progress import watched
+
+    spark.range(50).write.parquet(str(tmp_path / "in"))
+    seen = []
+    listener = watched(spark, 10, lambda run, n: seen.append(n))
+    adaptive.drained(adaptive.files(spark, str(tmp_path / "in"), "id long"), "watched", str(tmp_path / "cp"))
+    for _ in range(50):
+        if listener.ended:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    (run,) = listener.ended
+    assert listener.rows[run] == 50 and listener.rate(run) > 0 and seen
