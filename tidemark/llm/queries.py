@@ -69,13 +69,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
       FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS j FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, j, md5(array_to_string(w[j:j + 34], ' ')) AS k FROM i),
+r AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT h.doc_id AS doc_id, h.j + t.o AS p FROM h JOIN r ON h.k = r.k JOIN range(0, 35) t(o) ON TRUE),
+g AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM c GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT u.doc_id AS doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.p = u.p WHERE c.p IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_bit_sliced_topk": OP10_SQL}
+    """SQL can't express the others: hashes, tokenizers, learned centroids, greedy dealing, edit distances."""
+    return {"op9_substring_dedup": OP9_SQL, "op10_bit_sliced_topk": OP10_SQL}
