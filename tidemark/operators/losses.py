@@ -22,3 +22,8 @@ def batch_weights(rows: DataFrame, batch: str, weight: str) -> DataFrame:
 def class_errors(rows: DataFrame, batch: str, cls: str, error: str) -> DataFrame:
     """(batch, class, error): the mean error of each class in each batch that has it."""
     return rows.groupBy(batch, cls).agg(F.avg(error).alias(error))
+
+
+def epoch_means(log: DataFrame, epoch: str, metrics: list[str]) -> DataFrame:
+    """(epoch, steps, metrics): the means of step metrics by epoch; null steps don't count in a mean."""
+    return log.groupBy(epoch).agg(F.count("*").alias("steps"), *(F.avg(m).alias(m) for m in metrics))

@@ -135,3 +135,9 @@ def x_adaptive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN value <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS low, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def a_conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 10).alias("high"), F.count_if(F.col("value") <= 10).alias("low"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT o_orderpriority AS epoch, count(*) AS steps, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY o_orderpriority")
+def a_epoch_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "epoch")
+    return losses.epoch_means(log, "epoch", ["o_totalprice"]).withColumn("o_totalprice", F.round("o_totalprice", 4))

@@ -11,10 +11,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 ENTRY = "batch long, multiplier double"
 
 
-def files(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+def files(spark: SparkSession, path: str, schema, per_trigger: int | None = None, delete: bool = False) -> DataFrame:
+    """Parquet files of a folder as a stream; with delete, a file goes some time after its rows have been processed."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
+    reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
+    return (reader.option("cleanSource", "delete") if delete else reader).parquet(path)
 
 
 def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: int, recent: int, least: int, sensitivity: float, low: float, high: float) -> DataFrame:
