@@ -67,7 +67,8 @@ class _Block:
         begin = starts[first]
         end = begin + count - 1 + length
         context = mixed((sums[end] - sums[begin]) * inverse[begin] + count.astype(np.uint64))
-        return np.searchsorted(self.offsets, begin, "right") - 1, begin, count, runs[at[first]], context
+        key = mixed(runs[at[first]])  # least hashes are small; mixed again they spread over all shards
+        return np.searchsorted(self.offsets, begin, "right") - 1, begin, count, key, context
 
     def windows(self, begin: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of all windows of these runs, and 96 bits of hash of each."""
@@ -139,6 +140,8 @@ class _Judged:
         fresh = np.r_[True, self.keys[1:] != self.keys[:-1]][: len(self.keys)]
         of_key = np.cumsum(fresh) - 1
         self.different = np.bincount(of_key)[of_key] if len(of_key) else of_key
+        #: Whether all of the anchor's contexts have copies: then all of their windows repeat, and none need be sorted.
+        self.copied = np.minimum.reduceat(self.times, np.flatnonzero(fresh))[of_key] > 1 if len(of_key) else fresh
         self.first = np.zeros(len(key), bool)  # the entry that speaks for its context
         self.first[np.unique(self.number, return_index=True)[1]] = True
 
@@ -146,8 +149,8 @@ class _Judged:
 def _codes(table: pa.Table) -> pa.Table:
     """For each group and entry: 1 to send the context, 2 to send its windows singly; and 4 if the context has a copy."""
     x = _Judged(table)
-    several = x.different[x.number] > 1
-    hot = x.different[x.number] > MOST_CONTEXTS
+    several = (x.different[x.number] > 1) & ~x.copied[x.number]
+    hot = several & (x.different[x.number] > MOST_CONTEXTS)
     codes = ((several & ~hot & x.first) + 2 * hot + 4 * (x.times[x.number] > 1)).astype(np.uint8)
     return pa.table({"grp": table["grp"], "bucket": table["bucket"], "codes": _binary(codes, _parts(np.r_[0, np.cumsum(x.sizes)]))})
 
@@ -246,7 +249,7 @@ def _shard(table: pa.Table, sent: pa.Table, length: int, anchor: int) -> pa.Tabl
         i = j
     if table.num_rows:
         x = _Judged(table)
-        whole = (x.times > 1) & (x.different == 1)
+        whole = x.copied
         at = _spot(key[order], context[order], x.keys, x.contexts)
         partial = np.zeros(len(x.keys), bool)
         partial[at < len(key)] = bits[order[at[at < len(key)]]].any(axis=1)
@@ -288,25 +291,26 @@ def _spans(texts: list[bytes], answers: pa.Table, length: int, anchor: int) -> l
     for block in _blocks(texts, length) if answers.num_rows else ():
         _, begin, count, key, context = block.anchors(length, anchor)
         marked = np.zeros(len(block.data), bool)
-        known = np.zeros(len(begin), bool)
+        settled = np.zeros(len(begin), bool)
         if len(whole[0]):
-            known = _spot(*whole[:2], key, context) < len(whole[0])
+            settled = _spot(*whole[:2], key, context) < len(whole[0])
             edge = np.zeros(len(block.data) + 1, np.int32)
-            edge[begin[known]] += 1
-            np.add.at(edge, begin[known] + count[known], -1)
+            edge[begin[settled]] += 1
+            np.add.at(edge, begin[settled] + count[settled], -1)
             marked |= np.cumsum(edge[:-1]) > 0
         if bits is not None:
             at = _spot(*partial[:2], key, context)
-            for i in np.flatnonzero(at < len(partial[0])):
-                marked[begin[i] : begin[i] + count[i]] |= np.unpackbits(bits[partial[2][at[i]]], count=count[i]).astype(bool)
-        if len(single[0]) and not known.all():
-            at, high, low = block.windows(begin[~known], count[~known], length)
+            known = np.flatnonzero(at < len(partial[0]))
+            run, place = np.nonzero(np.unpackbits(bits[partial[2][at[known]]], axis=1))  # bits past a run's count are 0
+            marked[begin[known[run]] + place] = True
+        if len(single[0]) and not settled.all():
+            at, high, low = block.windows(begin[~settled], count[~settled], length)
             marked[at[_spot(single[0], single[1], high, low) < len(single[0])]] = True
         hits = np.flatnonzero(marked)
-        owner = np.searchsorted(block.offsets, hits, "right") - 1
-        for o in np.unique(owner):
+        cuts = np.searchsorted(hits, block.offsets)
+        for o in np.flatnonzero(np.diff(cuts)):
             i, offset, _ = block.held[o]
-            places[i].append(hits[owner == o] - block.offsets[o] + offset)
+            places[i].append(hits[cuts[o] : cuts[o + 1]] - block.offsets[o] + offset)
     out = []
     for found in places:
         at = np.concatenate(found) if found else np.empty(0, np.int64)
