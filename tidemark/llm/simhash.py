@@ -99,26 +99,28 @@ def _embedded(x: np.ndarray) -> np.ndarray:
 
 
 def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join whatever is joined within each cell; cell is in order. Where there are more links than a few for
-    each row, and in large cells, a cell gets a spanning forest, so its links grow with its size and not the square."""
+    """Links that join whatever is joined within each cell; cell is in order. A cell with as many links as rows, or a
+    large one, gets a spanning forest; so links grow with a cell's size and not with the square."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
+    number = np.repeat(np.arange(len(starts)), sizes)
     some = np.repeat((sizes > 1) & (sizes <= LARGE_CELL), sizes)
-    c, f = cell[some], fp[some]
-    found, n, by = [], 0, 1
-    while by < len(c) and n <= 2 * len(c):
-        same = np.flatnonzero(c[by:] == c[:-by])
+    f, number = fp[some], number[some]
+    links, found, by = np.zeros(len(starts), np.int64), [], 1
+    while by < len(f):
+        same = np.flatnonzero(number[by:] == number[:-by])
         if not len(same):
             break
         same = same[_near(f[same], f[same + by], radius)]
-        found.append((f[same], f[same + by]))
-        n += len(same)
+        if len(same):
+            found.append((number[same], f[same], f[same + by]))
+            links += np.bincount(number[same], minlength=len(starts))
+            if (full := (links >= sizes)[number]).any():  # these cells need no further comparison here
+                f, number = f[~full], number[~full]
         by += 1
-    forest = sizes > LARGE_CELL
-    if n > 2 * len(c):
-        forest |= sizes > 1
-    else:
-        yield from found
+    forest = (sizes > LARGE_CELL) | (links >= sizes)
+    for n, a, b in found:
+        yield a[~forest[n]], b[~forest[n]]
     for at, size in zip(starts[forest], sizes[forest]):
         left = fp[at : at + size]
         while len(left):
