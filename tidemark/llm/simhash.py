@@ -11,7 +11,7 @@ what passes is verified exactly.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -87,7 +87,12 @@ def _grids(untouched: int, blocks: int) -> list[int]:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which fingerprints are within the radius: first by the Manhattan bound, then exactly."""
+    """Which fingerprints are within the radius: first by the Manhattan bound, then exactly. Of sketches, all bits count."""
+    if b.ndim > 1:
+        apart = np.bitwise_count(a[..., 0] ^ b[:, 0]) + np.bitwise_count(a[..., 1] ^ b[:, 1])
+        near = apart <= radius
+        near[near] = apart[near] + np.bitwise_count(np.broadcast_to(a, b.shape)[near, 2:] ^ b[near, 2:]).sum(axis=1) <= radius
+        return near
     near = np.bitwise_count(_embedded(a) ^ _embedded(b)) <= radius
     near[near] = np.bitwise_count((np.broadcast_to(a, near.shape)[near] ^ b[near])) <= radius
     return near
@@ -99,8 +104,9 @@ def _embedded(x: np.ndarray) -> np.ndarray:
 
 
 def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join whatever is joined within each cell; cell is in order. A cell with as many links as rows, or a
-    large one, gets a spanning forest; so links grow with a cell's size and not with the square."""
+    """Links that join whatever is joined within each cell; cell is in order, and fp has a fingerprint or a row of them for
+    each place. A cell with as many links as rows, or a large one, gets a spanning forest of the pairs within the radius;
+    so links grow with a cell's size and not with the square."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     number = np.repeat(np.arange(len(starts)), sizes)
@@ -129,36 +135,43 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple
                 for node in reached.pop():
                     near = _near(node, left, radius)
                     if near.any():
-                        yield np.full(near.sum(), node), left[near]
+                        yield np.repeat(node[None], near.sum(), axis=0), left[near]
                         reached.append(left[near])
                         left = left[~near]
 
 
-def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks: int = 6, untouched: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks: int = 6, untouched: int | None = None, more: Sequence[str] = ()) -> DataFrame:
     """(a, b) pairs of different fingerprints whose links join all that lie within the radius of one another.
 
     By default the grids leave no such pair out. With a number of untouched blocks over blocks - radius they are fewer and
     finer: pairs up to blocks - untouched bits apart are all found, those from there to the radius mostly.
+
+    `more` columns belong to the fingerprint as further bits: the grids see the first column alone, the radius is over all
+    bits, and the pairs are (a, a1, a2, ..., b, b1, b2, ...).
     """
-    embedded = distinct.select(F.col(fp_col).alias("fp"), embedding(F.col(fp_col)).alias("e"))
+    fps = ["fp", *(f"fp{i + 1}" for i in range(len(more)))]
+    names = [c + n[2:] for c in "ab" for n in fps]
+    embedded = distinct.select(*(F.col(c).alias(n) for c, n in zip([fp_col, *more], fps)), embedding(F.col(fp_col)).alias("e"))
     cells = F.array(*(F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(_grids(blocks - radius if untouched is None else untouched, blocks))))
-    rows = embedded.select(F.explode(cells).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+    rows = embedded.select(F.explode(cells).alias("cell"), *fps).repartition("cell").sortWithinPartitions("cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        kept = [np.empty(0, np.int64)] * (1 + len(fps))
         for batch in batches:
             now = [np.concatenate([k, np.asarray(batch.column(i))]) for i, k in enumerate(kept)]
             last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last cell may go on
-            yield from found(now[0][:last], now[1][:last])
+            yield from found(now[0][:last], *(x[:last] for x in now[1:]))
             kept = [x[last:] for x in now]
         yield from found(*kept)
 
-    def found(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b in _cell_links(cell, fp.view(np.uint64), radius) if len(cell) else ():
-            if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    def found(cell: np.ndarray, *fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        wide = (np.stack(fp, axis=1) if more else fp[0]).view(np.uint64)
+        for pair in _cell_links(cell, wide, radius) if len(cell) else ():
+            if len(pair[0]):
+                ends = (end.view(np.int64).reshape(-1, len(fps)) for end in pair)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for end in ends for c in end.T], names=names)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -177,8 +190,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 WIDE = 4
-#: Bits of the first of the four fingerprints that candidates may differ in.
-CANDIDATE = 14
 
 
 def _sketch(data: bytes, shingle: int) -> list[int]:
@@ -223,20 +234,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, component_id) for each row with an id: the least id of the texts joined by links of at least the similarity.
 
     The similarity is that of the shingle sets, as four fingerprints of 64 bits show it: sets of similarity s differ in
-    arccos(2 s / (1 + s)) / pi of the bits on average. Candidates are links between the first fingerprints on the grids;
-    all 256 bits decide.
+    arccos(2 s / (1 + s)) / pi of the bits on average. Every different sketch is in the grids over its first fingerprint,
+    and two of a cell are linked if all 256 bits say so.
     """
     limit = int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     wide = [f"w{i}" for i in range(WIDE)]
     rows = cut(sketches(docs, id_col, text_col, shingle).where("id IS NOT NULL"))
     own = rows.groupBy(*wide).agg(F.min("id").alias("own"))
-    heads = own.groupBy("w0").agg(F.min_by(F.struct("own", *wide), "own").alias("h")).select(F.col("w0").alias("simhash"), "h")
-    apart = lambda a, b: sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in wide[1:]), F.bit_count(a("w0").bitwiseXOR(b("w0"))))
-    pairs = links(heads, "simhash", CANDIDATE, blocks, untouched).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    a, b = heads.select(F.col("simhash").alias("a"), F.col("h").alias("ha")), heads.select(F.col("simhash").alias("b"), F.col("h").alias("hb"))
-    found = pairs.join(a, "a").join(b, "b").where(apart(lambda w: F.col(f"ha.{w}"), lambda w: F.col(f"hb.{w}")) <= limit).select(F.col("ha.own").alias("x"), F.col("hb.own").alias("y"))
-    equal = own.join(heads, F.col("w0") == F.col("simhash")).where((F.col("own") != F.col("h.own")) & (apart(F.col, lambda w: F.col(f"h.{w}")) <= limit)).select(F.col("own").alias("x"), F.col("h.own").alias("y"))
-    roots = components(found.union(equal), "x", "y")
+    pairs = links(own, "w0", limit, blocks, untouched, wide[1:]).distinct()
+    end = lambda c, name: own.select(*(F.col(w).alias(f"{c}{i or ''}") for i, w in enumerate(wide)), F.col("own").alias(name))
+    for c, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(end(c, name), [f"{c}{i or ''}" for i in range(WIDE)])
+    found = pairs.select("x", "y")
+    roots = components(found, "x", "y")
     named = own.join(roots, F.col("own") == F.col("node"), "left").select(*wide, F.coalesce("root", "own").alias("component_id"))
     return rows.join(named, wide).select(F.col("id").alias(id_col), "component_id")
 
