@@ -58,6 +58,32 @@ def test_surrogates_stay_distinct_where_draws_collide(spark, monkeypatch):
     assert len(set(found.values())) == len(found) == 41 and not {f"10.0.0.{i}" for i in range(41)} & set(found.values())
 
 
+def test_persons_stay_apart_by_given_names(spark):
+    """More given names under one family name than the list has, some of them in it, in two scripts and genders."""
+    latin = [*pii.GIVEN["m"], *(f"Jo{c}n" for c in "abcdefgijk")]
+    cyrillic = [*pii.GIVEN_CYRILLIC["f"], "Анна", "Мария", "Ольга"]
+    people = [f"Mr {g} Smith" for g in latin] + [f"Г-жа {g} Петрова" for g in cyrillic] + ["Mr John Brown", "Mr John Smith", "Ms John Smith", "Mr Smith"]
+    df = spark.createDataFrame([(i, f"Here {p} and {p}.") for i, p in enumerate(people)], "doc_id long, text string")
+    found = {}
+    for r in pii.replaced(df).collect():
+        a, b = re.fullmatch(r"Here (.+) and (.+)\.", r.text).groups()
+        assert a == b and r.n_entities == 2
+        found[people[r.doc_id]] = a.split()
+    assert len({" ".join(x) for x in found.values()}) == len(people)
+    for p, new in found.items():
+        assert len(new) == len(p.split()) and not {*new[1:]} & {*p.split()[1:]}
+        assert len(new) < 3 or new[1] not in {x.split()[1] for x in people if len(x.split()) > 2 and x.split()[0] == new[0]}
+    assert found["Mr John Brown"][1] == found["Mr John Smith"][1] and found["Mr John Smith"][2] == found["Mr Smith"][1] == found["Ms John Smith"][2]
+
+
+def test_names_do_not_run_out(spark, monkeypatch):
+    """More family names than the first draw's syllables make."""
+    monkeypatch.setattr(pii, "SYLLABLES", ["ba", "be"])
+    names = [f"S{a}{b}x" for a in "abcdefghij" for b in "klmnopqrst"]
+    df = spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)], "doc_id long, text string")
+    assert len({r.text for r in pii.replaced(df).collect()} - {f"Mr {n}" for n in names}) == len(names)
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before, after = ({r.doc_id: r for r in df.collect()} for df in (docs, pii.replaced(docs)))

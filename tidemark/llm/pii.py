@@ -1,11 +1,13 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
 Detected entities get a keyed replacement of their own kind and form: digits for digits in the same places, addresses for
-addresses, family names in the script of the original and given names that fit the title. The replacement depends on the
-key and the entity's core (the digits of a card, the address in lower case, the family name), so one entity has one
-surrogate in all texts, however it is written. All cores of the corpus are then checked: where two cores of a kind would
-share a surrogate, or a surrogate is itself a core of the corpus, another is drawn, until none are. Cores that needed a
-further draw are few; only texts that hold one meet a join.
+addresses, family and given names in the script of the original. The replacement depends on the key and the entity's core
+(the digits of a card, the address in lower case, the family name), so one entity has one surrogate in all texts, however
+it is written. A given name is a core of its own, of the kind that its title's gender makes. All cores of the corpus are
+then checked: where two cores of a kind would share a surrogate, or a surrogate is itself a core of the corpus, another is
+drawn, until none are. Names get longer with each draw, so they don't run out. Given names are drawn from a short list
+first and from syllables afterwards, so many of them need a further draw; of other cores few do. Only texts that hold such
+a core meet a join.
 """
 
 from __future__ import annotations
@@ -75,6 +77,27 @@ def core_of(kind: Column, entity: Column) -> Column:
     )
 
 
+def given_of(kind: Column, entity: Column) -> tuple[Column, Column]:
+    """The kind and core of an entity's given name; both null without one."""
+    parts = F.split(entity, " ")
+    has = (kind == "name") & (F.size(parts) > 2)
+    return F.when(has, F.when(entity.rlike(FEMALE), F.lit("given f")).otherwise(F.lit("given m"))), F.when(has, F.get(parts, F.lit(1)))
+
+
+def _syllables(core: Column, count: Column, *seed: Column) -> Column:
+    """A name of so many syllables in the script of core."""
+    of = lambda values: F.transform(F.sequence(F.lit(1), count), lambda i: _one_of(values, _number(*seed, F.concat(F.lit("s"), (i - 1).cast("string")))))
+    return F.initcap(F.array_join(F.when(core.rlike(r"\p{IsCyrillic}"), of(SYLLABLES_CYRILLIC)).otherwise(of(SYLLABLES)), ""))
+
+
+def surrogate_given(kind: Column, core: Column, draw: Column, key: str) -> Column:
+    """The surrogate of a given name, null for null: first one of the list, then syllables, one more with each draw."""
+    n = _number(F.lit(key), F.lit("given"), core)
+    listed = lambda of: F.when(kind == "given f", _one_of(of["f"], n)).otherwise(_one_of(of["m"], n))
+    first = F.when(core.rlike(r"\p{IsCyrillic}"), listed(GIVEN_CYRILLIC)).otherwise(listed(GIVEN))
+    return F.when(core.isNotNull(), F.when(draw == 0, first).otherwise(_syllables(core, draw + 2, F.lit(key), kind, draw.cast("string"), core)))
+
+
 def _like(text: Column, *seed: Column, hexadecimal: Column | None = None) -> Column:
     """Other letters and digits in the places of those of text: digits, capitals, small letters each among themselves."""
 
@@ -104,19 +127,19 @@ def surrogate_core(kind: Column, core: Column, draw: Column, key: str) -> Column
     ip = F.concat_ws(".", (n("a") % 223 + 1).cast("string"), *((n(t) % 256).cast("string") for t in "bcd"))
     at = F.locate("@", core)
     email = F.concat(_like(F.substring_index(core, "@", 1), *seed), F.lit("@mail"), (n("h") % 1_000_000).cast("string"), F.lit(".example.org"))
-    family = lambda of: F.initcap(F.concat(*(_one_of(of, n(f"s{i}")) for i in range(5))))
     return (
         F.when(kind == "card", F.when(_luhn(core) == 0, checked).otherwise(digits))
         .when(kind.isin("phone", "ssn"), digits)
         .when(kind == "ip", ip)
         .when((kind == "email") & (at > 0), email)
-        .when(kind == "name", F.when(core.rlike(r"\p{IsCyrillic}"), family(SYLLABLES_CYRILLIC)).otherwise(family(SYLLABLES)))
+        .when(kind == "name", _syllables(core, draw + 5, *seed))
+        .when(kind.startswith("given"), surrogate_given(kind, core, draw, key))
         .when(kind == "secret", F.concat(F.regexp_extract(core, "^(AKIA|sk-|gh[pousr]_|)", 1), _like(F.regexp_replace(core, "^(?:AKIA|sk-|gh[pousr]_)", ""), *seed, hexadecimal=core.rlike("^[0-9a-f]+$"))))
         .otherwise(F.concat(F.substring(core, 1, 2), _like(F.substring(core, 3, 64), *seed)))
     )
 
 
-def _written(kind: Column, entity: Column, core: Column, surrogate: Column, key: str) -> Column:
+def _written(kind: Column, entity: Column, surrogate: Column, given: Column) -> Column:
     """The surrogate in the form of the entity."""
 
     def placed(c: Column, i: Column) -> Column:
@@ -124,11 +147,7 @@ def _written(kind: Column, entity: Column, core: Column, surrogate: Column, key:
         spot = F.substr(surrogate, F.length(surrogate) - after + 1, F.lit(1))
         return F.when(c.rlike("[0-9A-Z]") & (after <= F.length(surrogate)), spot).otherwise(c)
 
-    parts = F.split(entity, " ")
-    female = entity.rlike(FEMALE)
-    n = _number(F.lit(key), F.lit("given"), F.element_at(parts, 2))
-    given = lambda of: F.when(female, _one_of(of["f"], n)).otherwise(_one_of(of["m"], n))
-    name = F.concat_ws(" ", F.element_at(parts, 1), F.when(F.size(parts) > 2, F.when(entity.rlike(r"\p{IsCyrillic}"), given(GIVEN_CYRILLIC)).otherwise(given(GIVEN))), surrogate)
+    name = F.concat_ws(" ", F.get(F.split(entity, " "), F.lit(0)), given, surrogate)
     return F.when(kind.isin("card", "ssn", "phone", "iban"), F.array_join(F.transform(F.split(entity, ""), placed), "")).when(kind == "name", name).otherwise(surrogate)
 
 
@@ -141,7 +160,9 @@ def detected(docs: DataFrame, text_col: str = "text") -> Column:
 def redrawn(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, int]:
     """(kind, core, draw) of the cores whose first surrogate could not stay, and how many they are."""
     entity = docs.select(F.explode(detected(docs, text_col)).alias("entity")).select(kind_of(F.col("entity")).alias("kind"), "entity")
-    cores = entity.select("kind", core_of(F.col("kind"), F.col("entity")).alias("core")).distinct()
+    given_kind, given = given_of(F.col("kind"), F.col("entity"))
+    both = F.array(F.struct("kind", core_of(F.col("kind"), F.col("entity")).alias("core")), F.struct(given_kind.alias("kind"), given.alias("core")))
+    cores = entity.select(F.inline(both)).where("core IS NOT NULL").distinct()
     draw = lambda df, n: df.select("kind", "core", F.lit(n).alias("draw"), surrogate_core(F.col("kind"), F.col("core"), F.lit(n), key).alias("surrogate"))
     settled, first = None, cut(draw(cores, 0))
     now, moved = first, None
@@ -175,14 +196,16 @@ def replaced(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id", tex
     if n:
         have = cut(found.where(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()))
         each = have.select("__row", F.posexplode("__found").alias("at", "entity")).withColumn("kind", kind_of(F.col("entity")))
-        later = each.withColumn("core", core_of(F.col("kind"), F.col("entity"))).join(moved, ["kind", "core"])
+        given_kind, given = given_of(F.col("kind"), F.col("entity"))  # their draws are at -1, -2 and so on
+        both = F.array(F.struct("at", "kind", core_of(F.col("kind"), F.col("entity")).alias("core")), F.struct((-1 - F.col("at")).alias("at"), given_kind.alias("kind"), given.alias("core")))
+        later = each.select("__row", F.inline(both)).where("core IS NOT NULL").join(moved, ["kind", "core"])
         draws = later.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("at", "draw"))).alias("__draws"))  # of one row
         have = have.drop("__draws").join(draws, "__row", "left").drop("__row")
         found = found.where(F.size("__found") == 0).unionByName(have)
-    steps = F.transform("__found", lambda e, i: F.struct(e.alias("entity"), kind_of(e).alias("kind"), F.coalesce(F.element_at("__draws", i), F.lit(0)).alias("draw")))
-    steps = F.transform(steps, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), x["draw"].alias("draw"), core_of(x["kind"], x["entity"]).alias("core")))
-    steps = F.transform(steps, lambda x: F.struct(*(x[c].alias(c) for c in ("entity", "kind", "core")), surrogate_core(x["kind"], x["core"], x["draw"], key).alias("surrogate")))
-    new = F.transform(steps, lambda x: _written(x["kind"], x["entity"], x["core"], x["surrogate"], key))
+    steps = F.transform("__found", lambda e, i: F.struct(e.alias("entity"), kind_of(e).alias("kind"), F.coalesce(F.element_at("__draws", i), F.lit(0)).alias("draw"), F.coalesce(F.element_at("__draws", -1 - i), F.lit(0)).alias("given_draw")))
+    steps = F.transform(steps, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), x["draw"].alias("draw"), core_of(x["kind"], x["entity"]).alias("core"), surrogate_given(*given_of(x["kind"], x["entity"]), x["given_draw"], key).alias("given")))
+    steps = F.transform(steps, lambda x: F.struct(*(x[c].alias(c) for c in ("entity", "kind", "given")), surrogate_core(x["kind"], x["core"], x["draw"], key).alias("surrogate")))
+    new = F.transform(steps, lambda x: _written(x["kind"], x["entity"], x["surrogate"], x["given"]))
     gaps = F.split(F.col(text_col).cast("string"), PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = found.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(F.col(text_col)))
