@@ -1,5 +1,14 @@
+import numpy as np
+
 from tidemark.llm import langid
 
+FOREIGN = [
+    "W Krakowie padał wczoraj deszcz, a mieszkańcy spieszyli się do domów, niosąc zakupy i parasole. Stary zegar na wieży wybił dziewiątą, kiedy ostatni tramwaj odjechał.",
+    "Eilen illalla satoi kovasti, ja ihmiset kiiruhtivat koteihinsa kantaen ostoksiaan ja sateenvarjojaan. Vanha kello tornissa löi yhdeksän, kun viimeinen raitiovaunu lähti.",
+    "Dün akşam çok yağmur yağdı ve insanlar alışverişlerini ve şemsiyelerini taşıyarak evlerine koştular. Kuledeki eski saat dokuzu vurduğunda son tramvay duraktan ayrıldı.",
+    "Tegnap este nagyon esett az eső, és az emberek hazasiettek a bevásárlással és az esernyőikkel. A toronyban a régi óra kilencet ütött, amikor az utolsó villamos elindult.",
+]
+
 
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -21,3 +30,17 @@ def test_edge_cases(spark):
     empty = langid.fit(df.limit(0))
     assert langid.predict(df.limit(0), empty).count() == 0
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
+
+
+def test_unlearned_languages_are_rejected_and_clean_texts_stay(spark):
+    """Latin-script texts of other languages and random letters, also with one of them among the rows to learn from."""
+    rng = np.random.default_rng(0)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(80))
+    foreign = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*FOREIGN, noise])], "doc_id long, text string")
+    for sf, most in (("sf0.01", 0), ("sf0.1", 2)):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "lang")
+        odd = spark.createDataFrame([(-9, FOREIGN[0][::-1], "en")], "doc_id long, text string, lang string")
+        model = langid.fit(docs.where(~langid.held_out("doc_id")).union(odd))
+        got = langid.predict(docs.where(langid.held_out("doc_id")).select("doc_id", "text").union(foreign), model).where("rejected").collect()
+        assert {r.doc_id for r in got if r.doc_id < 0} == {-1, -2, -3, -4, -5}
+        assert sum(r.doc_id >= 0 for r in got) <= most

@@ -2,7 +2,9 @@
 
 A text is the vector of its hashed letter n-grams (one to three letters, word limits included), weighted by TF-IDF and
 normalised. Each language has several centroids, found by spherical k-means. A text takes the language of the centroid
-with the greatest cosine; one that lies too far from it, measured by what its own sample texts keep, is rejected.
+with the greatest cosine; one that lies too far from it is rejected. How near it lies is the cosine's share of the most
+that a text of as many n-grams can reach; the limit comes from a low quantile of this over the centroid's own sample texts
+and over the language's, so that neither an odd row nor a centroid of odd rows sets it.
 Document frequencies cover all rows that may be learned from. The centroids are fitted on a bounded sample: about
 `sample` rows of each language, chosen by a hash of the id.
 """
@@ -23,8 +25,10 @@ BITS = 13
 #: Rows of each language that centroids are fitted on, about; the documented bound of the sample.
 SAMPLE = 1_000
 UNKNOWN = "und"
-#: A text is too far away below this share of the least cosine that the language's sample texts have.
-NEAR = 0.25
+#: A text is too far away below this share of the quantile LOW of what sample texts have.
+NEAR, LOW = 0.5, 0.01
+#: Few n-grams prove little: a text of so many has half the limit.
+FEW = 16
 ROWS = 64
 
 
@@ -76,8 +80,13 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return found[:-1], int(found[-1])
 
 
+def _reach(centroids: np.ndarray) -> np.ndarray:
+    """For each centroid, the greatest cosine that a text of 1, 2, ... different n-grams can have with it."""
+    return np.sqrt(np.cumsum(-np.sort(-(centroids.astype(np.float64) ** 2), axis=1), axis=1)).astype(np.float32)
+
+
 def _clustered(table: pa.Table, idf: np.ndarray, clusters: int, rounds: int = 8) -> pa.Table:
-    """The centroids of one language's sample, and the least cosine that a text of it may have."""
+    """The centroids of one language's sample, and how near to each a text must lie."""
     rows = [c for x in table["text"] if (c := counts(x.as_py())) is not None]
     if not rows:
         return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
@@ -89,15 +98,20 @@ def _clustered(table: pa.Table, idf: np.ndarray, clusters: int, rounds: int = 8)
         own = np.argmax(v @ c.T, axis=1)
         c = np.stack([v[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    least = [NEAR * float((v @ c.T).max(axis=1).min())] * len(c)
+    cosine = v @ c.T
+    own = np.argmax(cosine, axis=1)
+    near = cosine.max(axis=1) / _reach(c)[own, np.count_nonzero(v, axis=1) - 1]
+    low = float(np.quantile(near, LOW))
+    least = [NEAR * max(low, float(np.quantile(near[own == i], LOW)) if (own == i).any() else low) for i in range(len(c))]
     return pa.table({"lang": [table["lang"][0].as_py()] * len(c), "centroid": pa.array([x.astype("<f4").tobytes() for x in c], pa.binary()), "least": least})
 
 
 class Model:
-    """Centroids by language, with weights of n-grams and the cosines below which a text is rejected."""
+    """Centroids by language, with weights of n-grams and the nearness below which a text is rejected."""
 
     def __init__(self, langs: list[str], centroids: np.ndarray, least: np.ndarray, idf: np.ndarray):
         self.langs, self.centroids, self.least, self.idf = langs, centroids, least, idf
+        self.reach = _reach(centroids)
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, sample: int = SAMPLE) -> Model:
@@ -133,9 +147,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             lang, score, far = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             if at := [i for i, c in enumerate(found) if c is not None]:
                 cosine = _vectors([found[i] for i in at], m.idf) @ m.centroids.T
+                grams = np.array([np.count_nonzero(found[i]) for i in at])
                 best = np.argmax(cosine, axis=1)
                 score[at] = np.clip(cosine[np.arange(len(at)), best], 0, 1)
-                far[at] = score[at] < m.least[best]
+                far[at] = score[at] / m.reach[best, grams - 1] < m.least[best] * grams / (grams + FEW)
                 for i, b in zip(at, best):
                     lang[i] = m.langs[b]
             yield pa.record_batch([*batch.columns, pa.array(lang), pa.array(score), pa.array(far)], names=[*keys, "lang_pred", "score", "rejected"])
