@@ -76,6 +76,22 @@ def test_stream_state_equals_batch(spark, tmp_path, files):
     assert got.keys() == {(r.c, r.batch) for r in want} and all(abs(got[r.c, r.batch] - r.multiplier) < 1e-9 for r in want)
 
 
+def test_ranges_of_a_stream_equal_batch_and_leave_the_driver(spark, tmp_path):
+    rows = [(c, b, 0.1 + (b * 7 % 11) / 11) for c in ("a", "b") for b in range(60)]
+    df = spark.createDataFrame(rows, "c string, batch long, e double").repartition(5)
+    at, seen = str(tmp_path / "cp"), []
+    for n in adaptive.in_ranges(df, str(tmp_path / "in"), "batch", 25):
+        stream = adaptive.multipliers(adaptive.files(spark, str(tmp_path / "in"), df.schema), "c", "batch", "e", 20, 5, 4, 0.7, 0.5, 3.0)
+        found = adaptive.drained(stream, f"ranges{n}", at)
+        seen.append((n, found.count()))
+        assert not spark.catalog.tableExists(f"ranges{n}") and all(at in f for f in found.inputFiles())
+    assert seen == [(0, 50), (1, 100), (2, 120)]
+    want = {(r.c, r.batch): r.multiplier for r in series.adaptive_multiplier(df, "c", "batch", "e", 20, 5, 4, F.lit(0.7), F.lit(0.5), F.lit(3.0)).collect()}
+    assert all(abs(want[r.c, r.batch] - r.multiplier) < 1e-9 for r in found.collect())
+    for n in adaptive.in_ranges(df.limit(0), str(tmp_path / "none"), "batch", 25):
+        assert n == 0 and adaptive.drained(adaptive.files(spark, str(tmp_path / "none"), df.schema), "none", str(tmp_path / "cp0")).count() == 0
+
+
 def test_throughput_counts_the_rows_of_a_stream(spark, tmp_path):
     import time
 

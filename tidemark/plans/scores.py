@@ -120,16 +120,17 @@ def w_adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ADAPTIVE)
 def x_adaptive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream with keyed state; its source is the entries written as files."""
+    """The same from a stream with keyed state; its source is the entries written as files, 65,536 batches at a time."""
     import uuid
 
-    from tidemark.streaming.adaptive import drained, files, multipliers
+    from tidemark.streaming.adaptive import drained, files, in_ranges, multipliers
     from tidemark.streaming.checkpoints import fresh
 
     entries, at = _entries(spark, sf_dir), fresh(spark)
-    entries.write.parquet(f"{at}-in")
-    stream = multipliers(files(spark, f"{at}-in", entries.schema), "class", "batch", "error", 200, 20, 10, 0.8, 0.5, 3.0)
-    return drained(stream, f"adaptive_{uuid.uuid4().hex}", at).select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
+    for _ in in_ranges(entries, f"{at}-in", "batch", 65_536):
+        stream = multipliers(files(spark, f"{at}-in", entries.schema), "class", "batch", "error", 200, 20, 10, 0.8, 0.5, 3.0)
+        found = drained(stream, f"adaptive_{uuid.uuid4().hex}", at)
+    return found.select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
 
 
 @query("SELECT event_type, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN value <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS low, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ENTRY = "batch long, multiplier double"
@@ -22,7 +23,8 @@ def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: i
     """(class, batch, multiplier) for each entry of a stream: what adaptive_multiplier gives in batch.
 
     A class's state is its last `history` errors; an entry reads the state before it joins it. Entries of a class must
-    come in order over micro-batches; within one they are put in order.
+    come in order over micro-batches; within one they are put in order, for which a task holds a class's entries of the
+    micro-batch. Feed them by `in_ranges` to bound these.
     """
     import math
 
@@ -46,8 +48,22 @@ def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: i
     return entries.groupBy(cls).applyInPandasWithState(step, f"{cls} {kind}, {ENTRY}", "errors array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def in_ranges(entries: DataFrame, path: str, order: str, step: int) -> Iterator[int]:
+    """Adds the entries to a folder a range of `step` values of order at a time, least first, and yields each range.
+
+    A stream over the folder that is drained after each has one range in a run. Without entries there is one empty range.
+    """
+    spark, all_of = entries.sparkSession, f"{path}-all"
+    entries.withColumn("__range", F.floor(F.col(order) / step)).write.partitionBy("__range").parquet(all_of)
+    dealt = spark.read.schema(entries.schema.add("__range", "long")).parquet(all_of)
+    for at in sorted(r[0] for r in dealt.select("__range").distinct().collect()) or [0]:  # a row for each range
+        dealt.where(F.col("__range") == at).select(entries.columns).write.mode("append").parquet(path)
+        yield at
+
+
 def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """What a stream gives until its source has nothing more, as a table in memory; for small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """What a stream gives until its source has nothing more, as files beside the checkpoint; these hold earlier runs' rows too."""
+    out = f"{checkpoint}-out"
+    query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
