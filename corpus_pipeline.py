@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, pii, simhash, spiece
+from tidemark.llm import decontaminate, langid, pii, similar, spiece
 from tidemark.llm.common import scratch, table
 
 ORACLE_SQL = None
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints of five-word shingles are linked."""
-    return simhash.one_of_each(docs)
+    """One document of each group of texts that share 0.8 or more of their five-word shingles."""
+    return similar.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

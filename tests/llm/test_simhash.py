@@ -55,55 +55,8 @@ def test_links_hold_together_planted_chains(spark):
     assert len(roots) == len(signed) and len({r.root for r in roots}) == 1
 
 
-def test_one_of_each_of_similar_texts(spark):
-    """Texts of known similarity: copies of 0.9 and over are found, those under 0.6 stay."""
-    rng = np.random.default_rng(2)
-    words = [f"w{i}" for i in rng.integers(0, 50_000, 400 * 60)]
-    rows, near, far = [], [], []
-    for d in range(60):
-        text = words[d * 400 : d * 400 + 400]
-        rows.append((d, " ".join(text)))
-        for k, (edits, kept) in enumerate(((3, near), (30, far))):
-            copy = list(text)
-            for at in np.linspace(5, 390, edits).astype(int):
-                copy[at] = f"x{at}"
-            kept.append(1000 * (k + 1) + d)
-            rows.append((kept[-1], " ".join(copy)))
-    rows += [(5000 + i, rows[0][1]) for i in range(40)]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, w0 int, own int")
-    left = {r.doc_id for r in simhash.one_of_each(df).collect()}
-    assert {*range(60)} <= left and {*far} <= left and not any(i >= 5000 for i in left)
-    assert len(left & {*near}) <= 3
-
-
 def test_large_cell_keeps_every_group():
     base = np.uint64(0x123456789ABCDEF0)
     fp = np.unique(np.array([base ^ np.uint64(1 << i) ^ np.uint64(1 << j) for i in range(20) for j in range(20, 40)], np.uint64))
     a, b = map(np.concatenate, zip(*simhash._cell_links(np.zeros(len(fp), np.int64), fp, 3)))
     assert len(a) == len(fp) - 1 and (np.bitwise_count(a ^ b) <= 3).all()
-
-
-def test_dense_group_is_joined_by_all_bits(spark):
-    """Hundreds of differing copies: groups are those of all pairs of a cell within the limit of all 256 bits."""
-    rng = np.random.default_rng(3)
-    text = [f"w{i}" for i in range(400)]
-    rows = [(0, " ".join(text))]
-    for d in range(1, 301):
-        copy = list(text)
-        for at in rng.choice(np.arange(4, 396, 8), 8, replace=False):
-            copy[at] = f"x{d}x{at}"
-        rows.append((d, " ".join(copy)))
-    sketch = np.array([simhash._sketch(t.encode(), 5) for _, t in rows], np.int64).view(np.uint64)
-    e = simhash._embedded(sketch[:, 0])
-    masks = np.array(simhash._grids(3, 10), np.int64).view(np.uint64)
-    group = np.arange(len(rows))
-    for i in range(len(rows)):
-        apart = np.bitwise_count(sketch[i] ^ sketch).sum(axis=1)
-        met = (((e[i] ^ e)[:, None] & masks) == 0).any(axis=1)
-        for g in {*group[(apart <= 38) & met].tolist()}:
-            group[group == g] = group[i]
-    least = {}
-    for d, g in enumerate(group.tolist()):
-        least.setdefault(g, d)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == {d: least[g] for d, g in enumerate(group.tolist())}

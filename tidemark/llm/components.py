@@ -7,38 +7,57 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
+#: A key with more than this share of all rows is hot; so there are fewer than 1 / SHARE such keys.
+SHARE = 0.001
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def joined(rows: DataFrame, of_key: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of of_key, which has one row for each key and in `times` how many of the `total` rows have it.
+
+    A key with a large share of all rows would meet in one task of a shuffle, so the hot keys (at most 1 / SHARE, whatever
+    the input) are broadcast, and only rows of other keys are shuffled. Rows without a match go.
+    """
+    limit = int(total * SHARE)
+    hot = of_key.where(F.col("times") > limit).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    rest = marked.where("__hot IS NULL").select(rows.columns).join(of_key.where(F.col("times") <= limit), key)
+    return marked.where("__hot").drop("__hot").unionByName(rest).drop("times")
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Each node's larger neighbours are tied to the least node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("times"))
+    return joined(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of these. Edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+    tied = joined(edges, least, "u", count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that an edge touches; root is the least node of its component.
 
-    Nulls and loops are left out. Each round halves the depth or better; its result goes to the shared folder. The
-    star centres' many rows meet in joins that adaptive execution can split, and minima are combined before shuffling.
+    Nulls and loops are left out. Each round halves the depth or better; its result goes to the shared folder. Minima are
+    combined before they are shuffled, and a star's centre with a large share of the edges is never a key of a shuffle.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = cut(now)
-    print_of = lambda df: tuple(df.select(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-    before = print_of(now)
-    for _ in range(most_rounds if before[0] else 0):
-        now = cut(_small_star(_large_star(now)))
-        after = print_of(now)
-        if after == before:
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    for _ in range(most_rounds):
+        count, unfinished = _state(now)
+        if not unfinished:
             break
-        before = after
+        now = cut(_small_star(_large_star(now, count), count))
     else:
-        if before[0]:
-            raise RuntimeError("components: no fixed point")
+        raise RuntimeError("components: no fixed point")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", F.col("v").alias("root")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes still keep them from being stars whose centres are least."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
+    found = nodes.agg(F.sum("as_u"), F.count_if((F.col("as_u") > 1) | ((F.col("as_u") > 0) & (F.col("as_v") > 0)))).first()
+    return found[0] or 0, found[1]

@@ -10,7 +10,6 @@ what passes is verified exactly.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, utf8, word_blocks
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 
 SEED = 42
 ODD = 0x5555555555555555
@@ -78,12 +77,16 @@ def embedding(fp: Column) -> Column:
     return any_.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _grids(untouched: int, blocks: int) -> list[int]:
+def grids(untouched: int, blocks: int) -> list[int]:
     """A mask over the embedding for each choice of so many blocks."""
-    edges = [round(i * 32 / blocks) for i in range(blocks + 1)]
-    masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(masks, untouched)]
+    return [signed(sum(c)) for c in combinations(block_masks(blocks), untouched)]
+
+
+def block_masks(blocks: int) -> list[int]:
+    """A mask over the embedding for each block of segments."""
+    edges = [round(i * 32 / blocks) for i in range(blocks + 1)]
+    return [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -140,33 +143,44 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple
                         left = left[~near]
 
 
-def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks: int = 6, untouched: int | None = None, more: Sequence[str] = ()) -> DataFrame:
+def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks: int = 6) -> DataFrame:
     """(a, b) pairs of different fingerprints whose links join all that lie within the radius of one another.
 
-    By default the grids leave no such pair out. With a number of untouched blocks over blocks - radius they are fewer and
-    finer: pairs up to blocks - untouched bits apart are all found, those from there to the radius mostly.
-
-    `more` columns belong to the fingerprint as further bits: the grids see the first column alone, the radius is over all
-    bits, and the pairs are (a, a1, a2, ..., b, b1, b2, ...).
+    Two of them within the radius differ in at most `radius` blocks of the embedding, so they meet in a cell of the grid
+    over blocks that neither touches: the grids over blocks - radius of them leave no pair out.
     """
-    fps = ["fp", *(f"fp{i + 1}" for i in range(len(more)))]
+    e = embedding(F.col(fp_col))
+    cells = [F.xxhash64(F.lit(i), e.bitwiseAND(F.lit(m))) for i, m in enumerate(grids(blocks - radius, blocks))]
+    return linked_in_cells(distinct, [fp_col], cells, radius)
+
+
+def linked_in_cells(distinct: DataFrame, words: Sequence[str], cells: Sequence[Column], radius: int) -> DataFrame:
+    """(a, a1, a2, ..., b, b1, b2, ...) pairs of different fingerprints, of one or more words of 64 bits, whose links join
+    all that share a cell and lie within the radius over all bits."""
+    fps = ["fp", *(f"fp{i}" for i in range(1, len(words)))]
     names = [c + n[2:] for c in "ab" for n in fps]
-    embedded = distinct.select(*(F.col(c).alias(n) for c, n in zip([fp_col, *more], fps)), embedding(F.col(fp_col)).alias("e"))
-    cells = F.array(*(F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(_grids(blocks - radius if untouched is None else untouched, blocks))))
-    rows = embedded.select(F.explode(cells).alias("cell"), *fps).repartition("cell").sortWithinPartitions("cell", "fp")
+    rows = distinct.select(F.explode(F.array(*cells)).alias("cell"), *(F.col(w).alias(n) for w, n in zip(words, fps)))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * (1 + len(fps))
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            now = [np.concatenate([k, np.asarray(batch.column(i))]) for i, k in enumerate(kept)]
-            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last cell may go on
-            yield from found(now[0][:last], *(x[:last] for x in now[1:]))
-            kept = [x[last:] for x in now]
-        yield from found(*kept)
-
-    def found(cell: np.ndarray, *fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        wide = (np.stack(fp, axis=1) if more else fp[0]).view(np.uint64)
-        for pair in _cell_links(cell, wide, radius) if len(cell) else ():
+            now = [np.asarray(c) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            last = np.searchsorted(now[0], now[0][-1])  # the last cell may go on
+            if last:
+                yield from found([*held, [x[:last] for x in now]])
+                held = []
+            held.append([x[last:] for x in now])
+        yield from found(held)
+
+    def found(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        cell, *fp = (np.concatenate(x) for x in zip(*held))
+        wide = (np.stack(fp, axis=1) if len(fp) > 1 else fp[0]).view(np.uint64)
+        for pair in _cell_links(cell, wide, radius):
             if len(pair[0]):
                 ends = (end.view(np.int64).reshape(-1, len(fps)) for end in pair)
                 yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for end in ends for c in end.T], names=names)
@@ -182,87 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group unless it has no other; repeated rows share theirs. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    least = fps.groupBy("simhash").agg(F.min(id_col).alias("own"))
+    least = fps.groupBy("simhash").agg(F.min(id_col).alias("own"), F.count("*").alias("times"))
     roots = components(links(least, "simhash", radius, blocks), "a", "b")
-    tied = least.join(roots, F.col("simhash") == F.col("node"), "left").select("simhash", "own", F.coalesce("root", "simhash").alias("root"))
-    named = tied.select("simhash", "root").join(tied.groupBy("root").agg(F.min("own").alias("component_id")), "root").select("simhash", "component_id")
-    return fps.join(named, "simhash").select(id_col, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-WIDE = 4
-
-
-def _sketch(data: bytes, shingle: int) -> list[int]:
-    """Four fingerprints of a text's word shingles, by two hashes of 128 bits; the shingles count once for each place."""
-    ones, total, carry, first = np.zeros(64 * WIDE, np.int64), 0, [], True
-    for words in word_blocks(data.lower()):
-        words = carry + words
-        for at in range(0, len(words) - shingle + 1, HASHED):
-            part = words[at : at + HASHED + shingle - 1]
-            ones += _wide_ones(part, shingle)
-            total += len(part) - shingle + 1
-        first &= len(words) < shingle
-        carry = words[-(shingle - 1) :] if shingle > 1 else []
-    if first and carry:
-        total, ones = 1, _wide_ones(carry, len(carry))
-    return np.packbits(ones * 2 > total).view(">i8").tolist()
-
-
-def _wide_ones(words: list[bytes], n: int) -> np.ndarray:
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[: len(words) - n] + 1).tolist()]
-    parts = [joined[s:e] for s, e in zip(starts, ends[n - 1 :].tolist())]
-    each = [np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, seed) for p in parts]), np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for seed in range(WIDE // 2)]
-    return np.concatenate(each)
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, w0, w1, w2, w3) for each row."""
-    source = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
-    names = ["id", *(f"w{i}" for i in range(WIDE))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([_sketch(x.as_py() or b"", shingle) for x in batch.column(1)], np.int64).reshape(-1, WIDE)
-            yield pa.record_batch([batch.column(0), *(pa.array(found[:, i]) for i in range(WIDE))], names=names)
-
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]))
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, blocks: int = 10, untouched: int = 3) -> DataFrame:
-    """(id_col, component_id) for each row with an id: the least id of the texts joined by links of at least the similarity.
-
-    The similarity is that of the shingle sets, as four fingerprints of 64 bits show it: sets of similarity s differ in
-    arccos(2 s / (1 + s)) / pi of the bits on average. Every different sketch is in the grids over its first fingerprint,
-    and two of a cell are linked if all 256 bits say so.
-    """
-    limit = int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    wide = [f"w{i}" for i in range(WIDE)]
-    rows = cut(sketches(docs, id_col, text_col, shingle).where("id IS NOT NULL"))
-    own = rows.groupBy(*wide).agg(F.min("id").alias("own"))
-    pairs = links(own, "w0", limit, blocks, untouched, wide[1:]).distinct()
-    end = lambda c, name: own.select(*(F.col(w).alias(f"{c}{i or ''}") for i, w in enumerate(wide)), F.col("own").alias(name))
-    for c, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(end(c, name), [f"{c}{i or ''}" for i in range(WIDE)])
-    found = pairs.select("x", "y")
-    roots = components(found, "x", "y")
-    named = own.join(roots, F.col("own") == F.col("node"), "left").select(*wide, F.coalesce("root", "own").alias("component_id"))
-    return rows.join(named, wide).select(F.col("id").alias(id_col), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of similar texts, the one with the least id.
-
-    Rows without an id stay, as nothing tells them apart; of rows with the same id one stays. Texts without words are
-    alike. Columns of any name but id_col and text_col go through untouched.
-    """
-    groups = cut(similar_groups(docs, id_col, text_col, shingle, similarity))
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    again = groups.groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col)
-    if again.isEmpty():
-        return kept
-    again = cut(again)
-    once = kept.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
-    return kept.join(again, id_col, "left_anti").select(docs.columns).unionByName(once)
+    tied = cut(least.join(roots, F.col("simhash") == F.col("node"), "left").select("simhash", "own", "times", F.coalesce("root", "simhash").alias("root")))
+    groups = tied.groupBy("root").agg(F.min("own").alias("component_id"), F.count("*").alias("times"))
+    named = joined(tied.withColumnRenamed("times", "rows"), groups, "root", tied.count()).select("simhash", "component_id", F.col("rows").alias("times"))
+    return joined(fps, named, "simhash", fps.count()).select(id_col, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
