@@ -53,6 +53,29 @@ def test_edits_against_brute_force(spark, monkeypatch):
         assert got.keys() == want.keys() and got == want and len(want) > 12
 
 
+def test_no_length_or_budget_loses_a_match(spark):
+    """Items of 12 to 60 letters with every number of edits that their budget allows, spread or side by side, in the middle
+    and at the ends of texts."""
+    rng = random.Random(5)
+    letters = lambda n, of="abcdefghij": "".join(rng.choice(of) for _ in range(n))
+    for rate, lengths in ((0.05, range(12, 61)), (0.12, range(12, 61, 6))):
+        items = [(m, letters(m)) for m in lengths]
+        docs = []
+        for m, item in items:
+            for k in range(int(m * rate) + 1):
+                for spread in range(4):
+                    text = list(item)
+                    for e in range(k):
+                        at = m // 2 + e if spread == 3 else round((e + 1) * m / (k + 1))
+                        text[min(at, m - 1)] = ("x", "", text[min(at, m - 1)] + "y", "x")[spread]
+                    docs.append((len(docs), ("", letters(30, "klmn"))[len(docs) % 2] + "".join(text) + ("", letters(30, "klmn"))[len(docs) // 2 % 2], m))
+        want = {(d, i): n for d, text, _ in docs for i, item in items if (n := distance(item, text)) <= int(i * rate)}
+        assert {(d, m) for d, _, m in docs} <= want.keys()
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.matches(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), bench, rate=rate).collect()}
+        assert got == want
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "?!", 1), (4, "so Go home", 1), (4, "so Go home", 1), (None, "x " * 500_000 + "a quick brown fox jumps over it", 1)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(7, None), (8, ""), (9, "go"), (10, "A quick, brown fox; jumps over"), (11, "om")], "item_id long, text string")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: A key with more than this share of all rows is hot; so there are fewer than 1 / SHARE such keys.
-SHARE = 0.001
+#: A key with more than this share of all rows is hot, so there are fewer than 1 / SHARE such keys; but FEW rows never are.
+SHARE, FEW = 0.001, 256
+
+
+def _most(total: int) -> int:
+    """Rows that a key may have without being hot."""
+    return max(FEW, int(total * SHARE))
 
 
 def joined(rows: DataFrame, of_key: DataFrame, key: str, total: int) -> DataFrame:
@@ -17,24 +22,25 @@ def joined(rows: DataFrame, of_key: DataFrame, key: str, total: int) -> DataFram
     A key with a large share of all rows would meet in one task of a shuffle, so the hot keys (at most 1 / SHARE, whatever
     the input) are broadcast, and only rows of other keys are shuffled. Rows without a match go.
     """
-    limit = int(total * SHARE)
+    limit = _most(total)
     hot = of_key.where(F.col("times") > limit).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), key, "left")
     rest = marked.where("__hot IS NULL").select(rows.columns).join(of_key.where(F.col("times") <= limit), key)
     return marked.where("__hot").drop("__hot").unionByName(rest).drop("times")
 
 
-def _large_star(edges: DataFrame, count: int) -> DataFrame:
+def _large_star(edges: DataFrame, count: int, hot: bool) -> DataFrame:
     """Each node's larger neighbours are tied to the least node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("times"))
-    return joined(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    larger = both.where("v > u")
+    return (joined(larger, least, "u", 2 * count) if hot else larger.join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, count: int) -> DataFrame:
+def _small_star(edges: DataFrame, count: int, hot: bool) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of these. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
-    tied = joined(edges, least, "u", count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = (joined(edges, least, "u", count) if hot else edges.join(least, "u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -46,18 +52,20 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
-        count, unfinished = _state(now)
+        count, unfinished, most = _state(now)
         if not unfinished:
             break
-        now = cut(_small_star(_large_star(now, count), count))
+        hot = most > _most(count)  # a star's centre may keep its edges, or get them, in either step
+        now = cut(_small_star(_large_star(now, count, hot), count, hot))
     else:
         raise RuntimeError("components: no fixed point")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", F.col("v").alias("root")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """How many edges there are, and how many nodes still keep them from being stars whose centres are least."""
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """How many edges there are, how many nodes still keep them from being stars whose centres are least, and the most
+    edges of a node."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).union(edges.select("v", F.lit(0), F.lit(1)))
-    nodes = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
-    found = nodes.agg(F.sum("as_u"), F.count_if((F.col("as_u") > 1) | ((F.col("as_u") > 0) & (F.col("as_v") > 0)))).first()
-    return found[0] or 0, found[1]
+    nodes = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v"))
+    found = nodes.agg(F.sum("as_u"), F.count_if((F.col("as_u") > 1) | ((F.col("as_u") > 0) & (F.col("as_v") > 0))), F.max(F.col("as_u") + F.col("as_v"))).first()
+    return found[0] or 0, found[1], found[2] or 0

@@ -3,7 +3,8 @@
 Two strings within k edits share at least m - q + 1 - kq of the first one's m - q + 1 q-grams, and the places of shared
 q-grams differ by shifts that span k at most. For each document the q-grams shared with each benchmark item are counted
 in diagonal bands of width 2(k + 1) that overlap by half, so some band holds all of them; bands that reach the bound are
-aligned, within the band, and matches within the budget stay.
+aligned, over their own diagonals and k more on both sides, and matches within the budget stay. Where an item is so short
+for its budget that the bound is below one, shorter q-grams are used, of which the lemma promises one at least.
 
 Both sides are compared in a plain form: letters and digits in lower case, with one space for whatever lies between.
 """
@@ -37,36 +38,53 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Items:
-    """Benchmark items with an index of their q-grams."""
+class _Index:
+    """The q-grams of some items by hash: which item, and where in it."""
 
-    def __init__(self, ids: list, texts: list[np.ndarray], q: int, rate: float):
-        self.ids, self.texts, self.q = ids, texts, q
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.budget = (sizes * rate).astype(np.int64)
-        self.least = np.maximum(1, sizes - q + 1 - self.budget * q)
-        grams = [_grams(t, q) for t in texts]
+    def __init__(self, items: np.ndarray, texts: list[np.ndarray], q: int):
+        self.q = q
+        grams = [_grams(texts[i], q) for i in items]
         h = np.concatenate([*grams, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+        item = np.repeat(items, [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.place = h[order], item[order], place[order]
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[h >> np.uint64(64 - FILTER_BITS)] = True
-        self.short = [i for i, t in enumerate(texts) if 0 < len(t) < q]  # too short for any q-gram: sought as they are
 
-    def found(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, begin, end, edits) of the best match of each item in each of the texts."""
-        gap = np.zeros(1, np.uint32)
-        joined = np.concatenate([x for t in texts for x in (t, gap)])
-        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    def shared(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in joined, item, place in the item) for every q-gram that an item shares."""
         h = _grams(joined, self.q)
         at = np.flatnonzero(self.seen[h >> np.uint64(64 - FILTER_BITS)])
         low, high = np.searchsorted(self.h, h[at]), np.searchsorted(self.h, h[at], "right")
         times = high - low
         at, low = np.repeat(at, times), np.repeat(low, times)
         entry = low + np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
-        item, diagonal = self.item[entry], at - self.place[entry]
+        return at, self.item[entry], self.place[entry]
+
+
+class _Items:
+    """Benchmark items with indexes of their q-grams."""
+
+    def __init__(self, ids: list, texts: list[np.ndarray], q: int, rate: float):
+        self.ids, self.texts = ids, texts
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.budget = np.minimum((sizes * rate).astype(np.int64), np.maximum(0, sizes - 1))
+        tight = (sizes >= q) & (sizes - q + 1 - self.budget * q < 1)
+        lesser = int((sizes // (self.budget + 1))[tight].min()) if tight.any() else q
+        self.least = sizes - np.where(tight, lesser, q) * (self.budget + 1) + 1
+        self.indexes = [_Index(np.flatnonzero((sizes >= q) & ~tight), texts, q)]
+        if tight.any():
+            self.indexes.append(_Index(np.flatnonzero(tight), texts, lesser))
+        self.short = [i for i, t in enumerate(texts) if 0 < len(t) < q]  # too short for any q-gram: sought as they are
+
+    def found(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, begin, end, edits) of the best match of each item in each of the texts."""
+        gap = np.zeros(1, np.uint32)
+        joined = np.concatenate([x for t in texts for x in (t, gap)])
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at, item, place = (np.concatenate(x) for x in zip(*(index.shared(joined) for index in self.indexes)))
+        diagonal = at - place
         text = np.searchsorted(offsets, at, "right") - 1
         step = self.budget[item] + 1
         band = (diagonal + (1 << 40)) // step  # diagonals may be negative
@@ -78,12 +96,10 @@ class _Items:
         kept = new[count >= self.least[pairs[1, new]]]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for t, i, b in pairs[:, kept].T.tolist():
-            k, m = int(self.budget[i]), len(self.texts[i])
+            k = int(self.budget[i])
             first = b * (k + 1) - (1 << 40) - int(offsets[t])
-            lo, hi = max(0, first - k), min(len(texts[t]), first + 2 * (k + 1) + m + k)
-            if (match := _aligned(self.texts[i], texts[t][lo:hi], k)) is not None:
-                edits, begin, end = match
-                best[t, i] = min(best.get((t, i), (edits, lo + begin, lo + end)), (edits, lo + begin, lo + end))
+            if (match := _aligned(self.texts[i], texts[t], first - k, 4 * k + 2, k)) is not None:
+                best[t, i] = min(best.get((t, i), match), match)
         for t, text in enumerate(texts if self.short else []):
             whole = " " + text.tobytes().decode("utf-32-le", "surrogatepass").strip() + " "
             for i in self.short:
@@ -94,23 +110,31 @@ class _Items:
             yield t, i, begin, end, edits
 
 
-def _aligned(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """(edits, begin, end) of the part of region that the whole item aligns with best; None beyond the budget.
+def _aligned(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, begin, end) of the part of text that the whole item aligns with best over `width` diagonals from the first
+    one; None beyond the budget.
 
-    A row for each letter of the item; insertions along a row are a running minimum. begin is carried with each cell.
+    A row for each letter of the item, a cell for each diagonal; insertions along a row are a running minimum. begin is
+    carried with each cell. Cells before the text's begin are out of reach, and what passes its end doesn't come back.
     """
-    n, width = len(region), np.int64(1 << 32)
-    if n < len(item) - budget:
-        return None
-    steps = np.arange(n + 1, dtype=np.int64) * width
-    row = np.arange(n + 1, dtype=np.int64)  # edits times width plus the begin that leads there
-    for letter in item:
-        down = row + width
-        down[1:] = np.minimum(down[1:], row[:-1] + np.where(region == letter, 0, width))
+    n, m, edit = len(text), len(item), np.int64(1 << 32)
+    letters = np.full(m + width, 0xFFFFFFFF, np.uint32)  # the letter that leads to each diagonal of the first row, and on
+    lo, hi = max(0, first), min(n, first + m + width)
+    if hi > lo:
+        letters[lo - first : hi - first] = text[lo:hi]
+    steps = np.arange(width, dtype=np.int64) * edit
+    begins = np.arange(first, first + width, dtype=np.int64)
+    far = np.int64(1 << 61)
+    row = np.where((begins >= 0) & (begins <= n), begins, far)  # edits times `edit` plus the begin that leads there
+    for i in range(m):
+        down = row + np.where(letters[i : i + width] == item[i], 0, edit)
+        down[:-1] = np.minimum(down[:-1], row[1:] + edit)
         row = np.minimum.accumulate(down - steps) + steps
+    ends = begins + m
+    row = np.where((ends >= 0) & (ends <= n), row, far)
     at = int(np.argmin(row))
-    edits, begin = divmod(int(row[at]), int(width))
-    return (edits, begin, at) if edits <= budget else None
+    edits, begin = divmod(int(row[at]), int(edit))
+    return (edits, begin, int(ends[at])) if edits <= budget else None
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
