@@ -97,3 +97,55 @@ def test_whole_table(spark, sf_dir):
         if not private.search(r.text):
             assert r.text == after[d].text
     assert seen > 3
+
+
+def test_mentions_without_a_title(spark):
+    texts = ["Mrs. Anna Schmidt spoke. Schmidt left. Anna Schmidt came back; Schmidts stay, Anna's too.", "Schmidt and Anna are nobody here.", "Jones saw Dr Eve Jones, Mr Lee and Lee."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replaced(df).collect()}
+    given, family = re.match(r"Mrs\. (\w+) (\w+) spoke", out[0]).groups()
+    assert out[0] == f"Mrs. {given} {family} spoke. {family} left. {given} {family} came back; Schmidts stay, {given}'s too." and {given, family} & {"Anna", "Schmidt"} == set()
+    assert out[1] == texts[1]
+    jones, eve, same, lee, again = re.fullmatch(r"(\w+) saw Dr (\w+) (\w+), Mr (\w+) and (\w+)\.", out[2]).groups()
+    assert jones == same != "Jones" and lee == again != "Lee" and lee != jones and eve in pii.GIVEN["f"] + pii.GIVEN["m"]
+
+
+def test_numbers_of_other_countries_and_forms(spark):
+    same = ["+1 678 555 5272", "+1 (678) 555-5272", "678.555.5272", "+16785555272"]
+    others = ["+44 678 555 5272", "+49 30 1234567", "+33 1 23 45 67 89", "+33 1 23 45 67 80", "fe80:0:0:0:1:2:3:4", "2001:db8::ff00:42:8329", "0A" * 20, "0b" * 70]
+    df = spark.createDataFrame(list(enumerate(f"at {x} now" for x in same + others)), "doc_id long, text string")
+    out = [r.text[3:-4] for r in sorted(pii.replaced(df).collect())]
+    form = lambda x: re.sub("[0-9a-f]", "0", re.sub("[0-9A-F]", "0", x)) if ":" in x or len(x) > 30 else re.sub("[0-9]", "0", x)
+    assert [form(x) for x in out] == [form(x) for x in same + others] and all(a != b for a, b in zip(out, same + others))
+    assert len({re.sub(r"\D", "", x)[-10:] for x in out[: len(same)]}) == 1 and len({*out[len(same) - 1 :]}) == len(others) + 1
+    assert out[4][:3] == "+44" and out[5][:3] == "+49"
+    plain = ["12:30:45 and 1999", "std::map", "1 + 22 33", "v1.2.3", "+5 points"]
+    df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert [r.text for r in sorted(pii.replaced(df).collect())] == plain
+
+
+def test_distinct_and_coreferent_by_brute_force(spark):
+    """Every entity of many texts, found by plain regular expressions: one surrogate for one core in all texts, different
+    surrogates for different cores, none that is a core of the corpus."""
+    import random
+
+    rng = random.Random(6)
+    mail = [f"{a}{b}@x{i % 7}.example.com" for i, (a, b) in enumerate((a, b) for a in "abcde" for b in "fghij")]
+    phones = [f"{rng.randrange(200, 999)}-555-{rng.randrange(10**4):04}" for _ in range(40)]
+    people = [f"{t} {g} {f}" for t, g in (("Mr", "Paul"), ("Mr", "Piotr"), ("Ms", "Rosa"), ("Ms", "Ines")) for f in ("Kling", "Wolff", "Adler", "Sauer")]
+    rows = []
+    for i in range(300):
+        m, p, n = rng.choice(mail), rng.choice(phones), rng.choice(people)
+        rows.append((i, f"{n} <{rng.choice((m, m.upper()))}> {rng.choice((p, p.replace('-', ' '), '+1 ' + p))} ; {n.split()[2]}", m, p, n))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replaced(df).collect()}
+    seen = {}
+    for i, _, m, p, n in rows:
+        name, mail_, phone, family = re.fullmatch(r"(.+) <(.+)> (.+) ; (\w+)", out[i]).groups()
+        title, given, last = name.split()
+        assert title == n.split()[0] and family == last
+        for kind, core, new in (("mail", m, mail_), ("phone", p, re.sub(r"\D", "", phone)[-10:]), ("family", n.split()[2], last), ("given " + title, n.split()[1], given)):
+            assert seen.setdefault((kind, core), new) == new
+    for kind in {k for k, _ in seen}:
+        new = [v for (k, _), v in seen.items() if k == kind]
+        assert len({*new}) == len(new) and not {*new} & {re.sub("-", "", c) if kind == "phone" else c for k, c in seen if k == kind}

@@ -3,7 +3,9 @@
 Detected entities get a keyed replacement of their own kind and form: digits for digits in the same places, addresses for
 addresses, family and given names in the script of the original. The replacement depends on the key and the entity's core
 (the digits of a card, the address in lower case, the family name), so one entity has one surrogate in all texts, however
-it is written. A given name is a core of its own, of the kind that its title's gender makes. All cores of the corpus are
+it is written. A given name is a core of its own, of the kind that its title's gender makes. Names are detected by their
+titles; in a text with such a name, other places where its family or given name stands as a word get the same surrogate.
+Names that no title precedes anywhere in their text, and forms that KINDS doesn't list, are out of reach. All cores of the corpus are
 then checked: where two cores of a kind would share a surrogate, or a surrogate is itself a core of the corpus, another is
 drawn, until none are. Names get longer with each draw, so they don't run out. Given names are drawn from a short list
 first and from syllables afterwards, so many of them need a further draw; of other cores few do. Only texts that hold such
@@ -21,16 +23,18 @@ from tidemark.llm.common import cut
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){1,8}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{30,})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{30,})(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ \-]?){3}[0-9]{4}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\p{L}\p{N}.\-])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}\-])",
-    "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?![\p{L}\p{N}])",
+    "phone abroad": r"(?<![\p{L}\p{N}.\-])\+[1-9][0-9]{0,2}(?:[ .\-]?(?:\([0-9]{1,5}\)|[0-9]{2,12}|[0-9](?=[ .\-]))){1,6}(?![\p{L}\p{N}\-])",
+    "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Dr|Prof|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?![\p{L}\p{N}])",
 }
 #: Texts that this doesn't match hold no entity.
-HINT = r"[0-9@]|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Г-"
-FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа)"
+HINT = r"[0-9@]|::|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Dr|Prof|Г-"
+FEMALE, EITHER = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа)", r"^(?:Dr|Prof)"
 GIVEN = {"f": ["Alma", "Berta", "Clara", "Dora", "Elena", "Flora", "Greta", "Hanna"], "m": ["Adam", "Boris", "Carl", "David", "Emil", "Felix", "Georg", "Hugo"]}
 GIVEN_CYRILLIC = {"f": ["Алла", "Вера", "Дарья", "Елена"], "m": ["Антон", "Борис", "Виктор", "Глеб"]}
 SYLLABLES = ["ba", "be", "da", "do", "fe", "ga", "ka", "ko", "la", "li", "ma", "mo", "na", "ne", "ra", "to"]
@@ -52,7 +56,7 @@ def _one_of(values: list[str], n: Column) -> Column:
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
-        out = F.when(entity.rlike(f"^(?:{_bare(pattern)})$"), F.lit(kind)).otherwise(out)
+        out = F.when(entity.rlike(f"^(?:{_bare(pattern)})$"), F.lit(kind.split(" ")[0])).otherwise(out)
     return out
 
 
@@ -69,8 +73,8 @@ def core_of(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     return (
         F.when(kind.isin("card", "ssn"), digits)
-        .when(kind == "phone", F.substring(digits, -10, 10))
-        .when(kind == "email", F.lower(entity))
+        .when(kind == "phone", F.when((F.length(digits) == 10) & ~entity.startswith("+"), digits).when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(F.concat(F.lit("+"), digits)))
+        .when(kind.isin("email", "ipv6"), F.lower(entity))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(kind == "name", F.regexp_extract(entity, r"(\p{Lu}\p{Ll}+)$", 1))
         .otherwise(entity)
@@ -81,7 +85,8 @@ def given_of(kind: Column, entity: Column) -> tuple[Column, Column]:
     """The kind and core of an entity's given name; both null without one."""
     parts = F.split(entity, " ")
     has = (kind == "name") & (F.size(parts) > 2)
-    return F.when(has, F.when(entity.rlike(FEMALE), F.lit("given f")).otherwise(F.lit("given m"))), F.when(has, F.get(parts, F.lit(1)))
+    gender = F.when(entity.rlike(FEMALE), F.lit("given f")).when(entity.rlike(EITHER), F.lit("given")).otherwise(F.lit("given m"))
+    return F.when(has, gender), F.when(has, F.get(parts, F.lit(1)))
 
 
 def _syllables(core: Column, count: Column, *seed: Column) -> Column:
@@ -93,7 +98,7 @@ def _syllables(core: Column, count: Column, *seed: Column) -> Column:
 def surrogate_given(kind: Column, core: Column, draw: Column, key: str) -> Column:
     """The surrogate of a given name, null for null: first one of the list, then syllables, one more with each draw."""
     n = _number(F.lit(key), F.lit("given"), core)
-    listed = lambda of: F.when(kind == "given f", _one_of(of["f"], n)).otherwise(_one_of(of["m"], n))
+    listed = lambda of: F.when(kind == "given f", _one_of(of["f"], n)).when(kind == "given m", _one_of(of["m"], n)).otherwise(_one_of(of["f"] + of["m"], n))
     first = F.when(core.rlike(r"\p{IsCyrillic}"), listed(GIVEN_CYRILLIC)).otherwise(listed(GIVEN))
     return F.when(core.isNotNull(), F.when(draw == 0, first).otherwise(_syllables(core, draw + 2, F.lit(key), kind, draw.cast("string"), core)))
 
@@ -106,7 +111,10 @@ def _like(text: Column, *seed: Column, hexadecimal: Column | None = None) -> Col
         small = _one_of(list("abcdefghijklmnopqrstuvwxyz"), n)
         digit = F.when((i == 0) & (c != "0"), n % 9 + 1).otherwise(n % 10).cast("string")
         plain = F.when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).otherwise(c)
-        return plain if hexadecimal is None else F.when(hexadecimal, _one_of(list("0123456789abcdef"), n)).otherwise(plain)
+        if hexadecimal is None:
+            return plain
+        digit = _one_of(list("0123456789abcdef"), n)
+        return F.when(hexadecimal & c.rlike("[0-9A-Fa-f]"), F.when(text.rlike("[A-F]"), F.upper(digit)).otherwise(digit)).otherwise(plain)
 
     return F.array_join(F.transform(F.split(text, ""), char), "")
 
@@ -129,12 +137,14 @@ def surrogate_core(kind: Column, core: Column, draw: Column, key: str) -> Column
     email = F.concat(_like(F.substring_index(core, "@", 1), *seed), F.lit("@mail"), (n("h") % 1_000_000).cast("string"), F.lit(".example.org"))
     return (
         F.when(kind == "card", F.when(_luhn(core) == 0, checked).otherwise(digits))
-        .when(kind.isin("phone", "ssn"), digits)
+        .when((kind == "phone") & core.startswith("+"), F.concat(F.substring(core, 1, 3), _like(F.substring(core, 4, 20), *seed)))
+        .when((kind == "phone") | (kind == "ssn"), digits)
+        .when(kind == "ipv6", _like(core, *seed, hexadecimal=F.lit(True)))
         .when(kind == "ip", ip)
         .when((kind == "email") & (at > 0), email)
         .when(kind == "name", _syllables(core, draw + 5, *seed))
         .when(kind.startswith("given"), surrogate_given(kind, core, draw, key))
-        .when(kind == "secret", F.concat(F.regexp_extract(core, "^(AKIA|sk-|gh[pousr]_|)", 1), _like(F.regexp_replace(core, "^(?:AKIA|sk-|gh[pousr]_)", ""), *seed, hexadecimal=core.rlike("^[0-9a-f]+$"))))
+        .when(kind == "secret", F.concat(F.regexp_extract(core, "^(AKIA|sk-|gh[pousr]_|)", 1), _like(F.regexp_replace(core, "^(?:AKIA|sk-|gh[pousr]_)", ""), *seed, hexadecimal=core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))))
         .otherwise(F.concat(F.substring(core, 1, 2), _like(F.substring(core, 3, 64), *seed)))
     )
 
@@ -148,7 +158,19 @@ def _written(kind: Column, entity: Column, surrogate: Column, given: Column) ->
         return F.when(c.rlike("[0-9A-Z]") & (after <= F.length(surrogate)), spot).otherwise(c)
 
     name = F.concat_ws(" ", F.get(F.split(entity, " "), F.lit(0)), given, surrogate)
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), F.array_join(F.transform(F.split(entity, ""), placed), "")).when(kind == "name", name).otherwise(surrogate)
+    return F.when(kind.isin("card", "ssn", "iban") | (kind == "phone"), F.array_join(F.transform(F.split(entity, ""), placed), "")).when(kind == "name", name).otherwise(surrogate)
+
+
+def _mentions(gap: Column) -> Column:
+    """What lies between entities, with the surrogates of the text's names in place of these; words of no name stay."""
+    names = F.filter("__steps", lambda x: x["kind"] == "name")
+    given = F.filter(names, lambda x: x["given"].isNotNull())
+    words = F.concat(F.transform(names, lambda x: x["core"]), F.transform(given, lambda x: F.get(F.split(x["entity"], " "), F.lit(1))))
+    new = F.concat(F.transform(names, lambda x: x["surrogate"]), F.transform(given, lambda x: x["given"]))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_distinct(words), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    put = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), lambda w: F.get(new, (F.array_position(words, w) - 1).cast("int")))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(gap, pattern, -1), put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(F.size(names) > 0, joined).otherwise(gap)
 
 
 def detected(docs: DataFrame, text_col: str = "text") -> Column:
@@ -185,7 +207,7 @@ def redrawn(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFram
 
 
 def replaced(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with entities in text_col replaced, and the column n_entities.
+    """docs with entities in text_col replaced, and the column n_entities (names' further mentions not counted).
 
     Null and empty texts stay as they are, as do texts without entities. Rows are never dropped or merged; repeated rows
     get the same text each. The key decides all surrogates. A column n_entities that docs has gives way.
@@ -204,9 +226,10 @@ def replaced(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id", tex
         found = found.where(F.size("__found") == 0).unionByName(have)
     steps = F.transform("__found", lambda e, i: F.struct(e.alias("entity"), kind_of(e).alias("kind"), F.coalesce(F.element_at("__draws", i), F.lit(0)).alias("draw"), F.coalesce(F.element_at("__draws", -1 - i), F.lit(0)).alias("given_draw")))
     steps = F.transform(steps, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), x["draw"].alias("draw"), core_of(x["kind"], x["entity"]).alias("core"), surrogate_given(*given_of(x["kind"], x["entity"]), x["given_draw"], key).alias("given")))
-    steps = F.transform(steps, lambda x: F.struct(*(x[c].alias(c) for c in ("entity", "kind", "given")), surrogate_core(x["kind"], x["core"], x["draw"], key).alias("surrogate")))
-    new = F.transform(steps, lambda x: _written(x["kind"], x["entity"], x["surrogate"], x["given"]))
-    gaps = F.split(F.col(text_col).cast("string"), PATTERN, -1)
+    steps = F.transform(steps, lambda x: F.struct(*(x[c].alias(c) for c in ("entity", "kind", "core", "given")), surrogate_core(x["kind"], x["core"], x["draw"], key).alias("surrogate")))
+    found = found.withColumn("__steps", steps)
+    new = F.transform("__steps", lambda x: _written(x["kind"], x["entity"], x["surrogate"], x["given"]))
+    gaps = F.transform(F.split(F.col(text_col).cast("string"), PATTERN, -1), _mentions)
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = found.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(F.col(text_col)))
     return out.select(*docs.columns, F.size("__found").alias("n_entities"))
