@@ -95,7 +95,7 @@ def test_thinning_equals_a_greedy_pass(spark):
             if last is None or (x - last).total_seconds() >= 60:
                 want.add((g, i))
                 last = x
-    assert {(r.g, r.i) for r in series.thinned(df, "i", "ts", ["g"]).collect()} == want
+    assert {(r.g, r.i) for r in series.thinned(df, "i", "ts", "g").collect()} == want
     kept = sorted(r.ts for r in series.thinned_anywhere(df.where("g = 0"), "ts", 300, ["g"]).collect())
     assert all((b - a).total_seconds() >= 300 for a, b in zip(kept, kept[1:])) and len(kept) > 3
 
@@ -111,6 +111,28 @@ def test_next_valid_goes_round(spark):
     assert [r.used for r in series.next_valid(df, "g", "o", "v").orderBy("o").collect()] == [5, 5, 5]
 
 
+def test_series_in_parts_are_as_whole_ones(spark):
+    """What crosses the bounds of parts: series with gaps over whole parts, null keys and null times."""
+    rng = np.random.default_rng(8)
+    at = sorted(rng.choice(400, 120, replace=False).tolist())
+    rows = [(s, t("2024-01-01T00:00:00") + dt.timedelta(minutes=15 * m), i, None if rng.random() < 0.7 or 100 < m < 250 else float(m)) for s in ("a", "b", None) for i, m in enumerate(at)]
+    df = spark.createDataFrame([*rows, ("a", None, -1, 5.0), ("c", rows[0][1], 0, None)], "s string, ts timestamp_ntz, i int, v double")
+    day, ten = F.date_trunc("day", "ts"), F.floor(F.col("i") / 10)
+    both = lambda f, part: [sorted(map(str, f(df, p).collect())) for p in (None, part)]
+    for f, part in (
+        (lambda d, p: series.interpolated(d.where("ts IS NOT NULL"), "s", "ts", "v", p), day),
+        (lambda d, p: series.next_valid(d, "s", "i", "v", p), ten),
+        (lambda d, p: series.thinned(d.withColumn("ts", F.expr("timestampadd(MINUTE, (i * 7) % 30, ts)")), "i", "ts", "s", p), ten),
+        (lambda d, p: splits.batched(d, "s", "i", 7, p), ten),
+    ):
+        whole, parts = both(f, part)
+        assert whole == parts and len(whole) > 10
+    numbers = splits.numbered(df.withColumn("o", F.struct("i", "s")), None, "o", ten).orderBy("o").collect()
+    assert [r.number for r in numbers] == list(range(df.count()))
+    with pytest.raises(ValueError):
+        splits.batched(df, None, "i", 7)
+
+
 def test_splits(spark):
     ranges = {"train": ("2024-01-01", "2024-01-31"), "test": ("2024-01-31", "2024-02-10")}
     df = spark.createDataFrame([(t("2024-01-31T23:59:59.999999"),), (t("2024-02-01T00:00:00"),), (t("2024-03-01T00:00:00"),)], "ts timestamp_ntz")

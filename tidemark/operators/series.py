@@ -6,16 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interpolated(rows: DataFrame, by: str, ts: str, value: str) -> DataFrame:
+def in_part(by: str | None, part: Column | None) -> Column:
+    """A key for a range of a series' order, from its key and the range; never null, so that it can be joined by."""
+    return F.struct((F.lit(None).cast("int") if by is None else F.col(by)).alias("by"), (F.lit(0) if part is None else part).alias("range"))
+
+
+def _with_carries(rows: DataFrame, by: str, part: Column | None, **carries: tuple[Column, bool]) -> DataFrame:
+    """rows with `__part` and, for each carry (an aggregate over a part's rows, True), the last such value that isn't null
+    of the series' earlier parts, or (aggregate, False) the first one of its later parts.
+
+    A part is a range of the series' order, so that a long series is many tasks' work; what crosses the bounds is found
+    over a table with a row for each part. Without parts nothing crosses.
+    """
+    rows = rows.withColumn("__part", in_part(by, part))
+    if part is None:
+        return rows
+    w = Window.partitionBy("__part.by")
+    order = lambda forward: w.orderBy(F.col("__part.range") if forward else F.col("__part.range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy("__part").agg(*(c.alias(n) for n, (c, _) in carries.items()))
+    return rows.join(each.withColumns({n: F.last(n, True).over(order(forward)) for n, (_, forward) in carries.items()}), "__part")
+
+
+def interpolated(rows: DataFrame, by: str, ts: str, value: str, part: Column | None = None) -> DataFrame:
     """rows with `filled`: nulls get the value between the last and next one in proportion to time, the nearest one at
-    both ends. One window order serves both directions."""
+    both ends. `part` is a range of ts, such as its day; a series without parts is one task's work."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
-    w = Window.partitionBy(by).orderBy(ts)
-    marked = rows.withColumns({"__a": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    ends = {} if part is None else {"__c": (F.max_by(known, F.when(known.isNotNull(), F.col(ts))), True), "__d": (F.min_by(known, F.when(known.isNotNull(), F.col(ts))), False)}
+    marked = _with_carries(rows, by, part, **ends)
+    w = Window.partitionBy("__part")
+    near = lambda order: F.last(known, True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumns({"__a": near(F.col(ts)), "__b": near(F.col(ts).desc())})
+    if ends:
+        marked = marked.withColumns({"__a": F.coalesce("__a", "__c"), "__b": F.coalesce("__b", "__d")})
     micros = lambda a, b: F.timestamp_diff("MICROSECOND", a, b).cast("double")
     share = F.try_divide(micros(F.col("__a.t"), F.col(ts)), micros(F.col("__a.t"), F.col("__b.t")))
     between = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * share
-    return marked.withColumn("filled", F.coalesce(F.col(value), between, "__a.v", "__b.v")).drop("__a", "__b")
+    return marked.withColumn("filled", F.coalesce(F.col(value), between, "__a.v", "__b.v")).drop("__a", "__b", "__c", "__d", "__part")
 
 
 def on_cadence(rows: DataFrame, ts: str, seconds: int, reference: Column) -> DataFrame:
@@ -23,11 +49,13 @@ def on_cadence(rows: DataFrame, ts: str, seconds: int, reference: Column) -> Dat
     return rows.where(F.pmod(F.timestamp_diff("MICROSECOND", reference, F.col(ts)), F.lit(seconds * 1_000_000)) == 0)
 
 
-def thinned(rows: DataFrame, order: str, ts: str, by: list[str]) -> DataFrame:
+def thinned(rows: DataFrame, order: str, ts: str, by: str, part: Column | None = None) -> DataFrame:
     """Of rows on a time grid, those later than all before them in name order: what a greedy pass keeps that asks for a
-    full step since the last kept row."""
-    before = F.max(ts).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(ts) > F.col("__before"))).drop("__before")
+    full step since the last kept row. `part` is a range of the order."""
+    marked = _with_carries(rows, by, part, **({} if part is None else {"__max": (F.max(ts), True)}))
+    before = F.max(ts).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("__before", before if part is None else F.greatest(before, "__max"))
+    return marked.where(F.col("__before").isNull() | (F.col(ts) > F.col("__before"))).select(rows.columns)
 
 
 def thinned_anywhere(rows: DataFrame, ts: str, seconds: int, by: list[str]) -> DataFrame:
@@ -45,11 +73,15 @@ def thinned_anywhere(rows: DataFrame, ts: str, seconds: int, by: list[str]) -> D
     return rows.groupBy(*by).applyInPandas(keep, rows.schema)
 
 
-def next_valid(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """rows with `used`: the value, or that of the next row that has one, going round at the end."""
-    w = Window.partitionBy(by).orderBy(order)
-    ahead = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("used", F.coalesce(ahead, F.first(value, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+def next_valid(rows: DataFrame, by: str, order: str, value: str, part: Column | None = None) -> DataFrame:
+    """rows with `used`: the value, or that of the next row that has one, going round at the end. `part` is a range of
+    the order."""
+    at = F.when(F.col(value).isNotNull(), F.col(order))
+    marked = _with_carries(rows, by, part, **({} if part is None else {"__later": (F.min_by(value, at), False)}))
+    ahead = F.last(value, True).over(Window.partitionBy("__part").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    first = rows.groupBy(F.struct(by).alias("__by")).agg(F.min_by(value, at).alias("__first"))
+    later = [] if part is None else [F.col("__later")]
+    return marked.withColumns({"__ahead": ahead, "__by": F.struct(by)}).join(first, "__by").withColumn("used", F.coalesce("__ahead", *later, "__first")).drop("__ahead", "__later", "__first", "__part", "__by")
 
 
 def adaptive_multiplier(entries: DataFrame, by: str, order: str, error: str, history: int, recent: Column | int, least: Column | int, sensitivity: Column, low: Column, high: Column) -> DataFrame:

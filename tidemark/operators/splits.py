@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import in_part
+
 
 def split_of(ts: Column, ranges: dict[str, tuple[str, str]] | None = None) -> Column:
     """The split of a time: the first of train, val and test whose days hold it (the last day whole), null if none
@@ -39,7 +41,23 @@ def chunk_size(n: int, processes: int, per_process: int, least: int) -> int:
     return max(least, n // (processes * per_process))
 
 
-def batched(rows: DataFrame, by: str | None, order: str, size: int) -> DataFrame:
-    """rows with batch: so many rows each, in order within `by`."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+def numbered(rows: DataFrame, by: str | None, order: str, part: Column | None = None) -> DataFrame:
+    """rows with number: 0, 1, 2 and so on in order within `by`, or over all rows.
+
+    `part` is a range of the order; rows are numbered within it, and the parts' counts add up over a table with a row for
+    each. Without it a value of `by` is one task's work, so numbers over all rows need it.
+    """
+    if part is None:
+        if by is None:
+            raise ValueError("numbers over all rows need parts")
+        return rows.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    marked = rows.withColumn("__part", in_part(by, part))
+    earlier = Window.partitionBy("__part.by").orderBy("__part.range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return marked.join(counts, "__part").select(*rows.columns, (within + F.col("__n")).alias("number"))
+
+
+def batched(rows: DataFrame, by: str | None, order: str, size: int, part: Column | None = None) -> DataFrame:
+    """rows with batch: so many rows each, in order within `by`; for `part` see numbered."""
+    return numbered(rows, by, order, part).withColumn("batch", F.floor(F.col("number") / size).cast("long")).drop("number")

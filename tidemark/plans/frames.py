@@ -183,7 +183,7 @@ pa AS (SELECT sat, a, max(ts) AS pt, max(v) AS pv FROM g WHERE v IS NOT NULL GRO
 FROM g LEFT JOIN pa ON g.sat = pa.sat AND g.a = pa.a LEFT JOIN nb ON g.sat = nb.sat AND g.b = nb.b""")
 def w_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flux_series(spark, sf_dir).withColumn("v", F.when(F.col("k").isNull() | (F.col("k") % 7 != 0), fx.log_flux(F.col("flux"))))
-    return series.interpolated(rows, "sat", "ts", "v").select("event_id", F.round("filled", 6).alias("filled"))
+    return series.interpolated(rows, "sat", "ts", "v", F.date_trunc("day", "ts")).select("event_id", F.round("filled", 6).alias("filled"))
 
 
 @query("SELECT event_id FROM events WHERE date_diff('second', TIMESTAMP '2024-01-01', ts) % 60 = 0")
@@ -198,8 +198,8 @@ SELECT event_type, event_id FROM b WHERE before IS NULL OR t > before""")
 def w_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute = F.date_trunc("minute", "ts")
     stem = F.when(F.col("event_id") % 3 == 0, F.date_format(minute, "yyyy-MM-dd'T'HH'_'mm'_'ss")).otherwise(F.date_format(minute, "yyyy-MM-dd'T'HH:mm:ss"))
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", minute.cast("timestamp_ntz").alias("t"), F.struct(stem, "event_id").alias("o"))
-    return series.thinned(rows, "o", "t", ["event_type"]).select("event_type", "event_id")
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", minute.cast("timestamp_ntz").alias("t"), F.struct(stem.alias("stem"), "event_id").alias("o"))
+    return series.thinned(rows, "o", "t", "event_type", F.substring(F.col("o").getField("stem"), 1, 10)).select("event_type", "event_id")
 
 
 @query(f"""WITH f AS (SELECT event_type AS sat, CASE WHEN event_id % 2 = 0 THEN 'b.csv' ELSE 'a.csv' END AS file, event_id FROM events WHERE event_id % 5 > 0 OR event_type <> 'view'),
@@ -221,7 +221,7 @@ def w_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT sat, event_id, min(v) OVER (PARTITION BY sat ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS nx FROM v) SELECT event_id, coalesce(nx, lo) AS used FROM n JOIN m ON n.sat = m.sat""")
 def w_next_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flux_series(spark, sf_dir).withColumn("v", F.when(F.col("k").isNull() | (F.col("k") % 7 != 0), F.col("event_id")))
-    return series.next_valid(rows, "sat", "event_id", "v").select("event_id", "used")
+    return series.next_valid(rows, "sat", "event_id", "v", F.floor(F.col("event_id") / 65_536)).select("event_id", "used")
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rank FROM orders) SELECT o_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
@@ -255,7 +255,7 @@ def l_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 16 AS batch FROM events")
 def l_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
-    return splits.batched(e, "event_type", "o", 16).select("event_type", "event_id", "batch")
+    return splits.batched(e, "event_type", "o", 16, F.date_trunc("day", "ts")).select("event_type", "event_id", "batch")
 
 
 @query("SELECT event_type AS name, ts AS at, CAST(NULL AS DOUBLE) AS price FROM events UNION ALL SELECT o_orderstatus, o_orderdate, o_totalprice FROM orders")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import flux as fx
-from tidemark.operators import evaluate, losses, series
+from tidemark.operators import evaluate, losses, series, splits
 from tidemark.plans.adapters import PAIRS, SERIES, pairs, table
 from tidemark.plans.adapters import series as flux_series
 from tidemark.plans.registry import query
@@ -83,8 +83,7 @@ _BATCHES = f"{PAIRS}, b AS (SELECT event_id, sat, {_CLASS.format(x='truth')} AS
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("sat").orderBy("ts", "event_id")) - 1
-    rows = pairs(spark, sf_dir).withColumn("batch", F.floor(at / 16))
+    rows = splits.batched(pairs(spark, sf_dir).withColumn("o", F.struct("ts", "event_id")), "sat", "o", 16, F.date_trunc("day", "ts"))
     return rows.select("event_id", "sat", fx.class_of(F.col("truth"), True).alias("class"), F.abs(F.log10("pred") - F.log10("truth")).alias("error"), "batch")
 
 
