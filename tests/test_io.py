@@ -92,6 +92,50 @@ def test_ranges_of_a_stream_equal_batch_and_leave_the_driver(spark, tmp_path):
         assert n == 0 and adaptive.drained(adaptive.files(spark, str(tmp_path / "none"), df.schema), "none", str(tmp_path / "cp0")).count() == 0
 
 
+def test_validation_reads_the_state_and_never_changes_it(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(c, b, float(e), b % 5 < 3) for c in ("a", "b") for b, e in enumerate(rng.random(60) + 0.1)]
+    want = {}
+    for c in ("a", "b"):
+        held = []
+        for _, b, e, learns in (r for r in rows if r[0] == c):
+            last, whole = held[-5:], held[-20:]
+            want[c, b] = 1.0 if len(whole) < 4 else min(max(np.exp(0.7 * (np.mean(last) / np.mean(whole) - 1)), 0.5), 3.0)
+            held += [e] if learns else []
+    df = spark.createDataFrame(rows, "c string, batch long, e double, learns boolean")
+    got = series.learned_multiplier(df, "c", "batch", "e", F.col("learns"), 20, 5, 4, 0.7, 0.5, 3.0).collect()
+    assert len(got) == len(want) and all(abs(want[r.c, r.batch] - r.multiplier) < 1e-9 for r in got)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = adaptive.multipliers(adaptive.files(spark, str(tmp_path / "in"), df.schema), "c", "batch", "e", 20, 5, 4, 0.7, 0.5, 3.0, "learns")
+    streamed = adaptive.drained(stream, "learns", str(tmp_path / "cp")).collect()
+    assert len(streamed) == len(want) and all(abs(want[r.c, r.batch] - r.multiplier) < 1e-9 for r in streamed)
+
+
+def test_files_go_once_their_rows_are_written(spark, tmp_path):
+    import time
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    found = adaptive.drained(adaptive.files(spark, str(tmp_path / "in"), "id long", 1, delete=True), "gone", str(tmp_path / "cp"))
+    assert sorted(r.id for r in found.collect()) == [*range(30)]
+    for _ in range(50):
+        if len(left := list((tmp_path / "in").glob("*.parquet"))) < 3:
+            break
+        time.sleep(0.2)
+    assert len(left) < 3  # the last batch's file stays until another batch has come
+
+
+def test_missing_pairs_and_tensor_files(spark, tmp_path):
+    frames = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("c", None), (None, [5.0, 6.0]), ("d", [1.0])], "k string, v array<double>")
+    sinks.missing_pairs(frames, spark.createDataFrame([("a",), ("a",), ("d",)], "k string"), "k", str(tmp_path / "p"), str(tmp_path / "m"))
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "p")).collect()) == ["a", "d"]
+    assert sorted(str(r.k) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == ["None", "b", "c"]
+    at = str(tmp_path / "npy")
+    assert sorted(r.k for r in sinks.tensor_files(frames, at, "k", "v", [1, 2]).collect()) == ["a", "b"]
+    assert sinks.tensor_files(frames, at, "k", "v", [1, 2]).collect() == []
+    assert {r.name: (r.shape, r["values"]) for r in readers.tensors(spark, at).collect()} == {"a.npy": ([1, 2], [1.0, 2.0]), "b.npy": ([1, 2], [3.0, 4.0])}
+
+
 def test_throughput_counts_the_rows_of_a_stream(spark, tmp_path):
     import time
 

@@ -50,3 +50,14 @@ def total_flux(logits: Column, mean: float, std: float) -> Column:
     """The sum of the patches' fluxes, each clamped to [1e-15, 1], and 1e-15 at least."""
     flux = F.transform(logits, lambda z: F.least(F.greatest(F.pow(F.lit(10.0), z.cast("double") * std + mean) - 1e-8, F.lit(1e-15)), F.lit(1.0)))
     return F.greatest(F.aggregate(flux, F.lit(0.0), lambda a, x: a + x), F.lit(1e-15))
+
+
+def brightest_patch(pixels: Column, width: int, height: int, patch: int) -> Column:
+    """The patch x patch part of one image around its first brightest pixel, moved inward at the borders; null for null
+    and for images without a value."""
+    known = F.filter(pixels, lambda x: x.isNotNull() & ~F.isnan(x))
+    at = F.array_position(pixels, F.array_max(known)) - 1
+    start = lambda place, most: F.greatest(F.lit(0), F.least(place - patch // 2, F.lit(most - patch))).cast("int")
+    top, left = start(F.floor(at / width), height), start(at % width, width)
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(patch - 1)), lambda i: F.slice(pixels, (top + i) * width + left + 1, F.lit(patch))))
+    return F.when(at >= 0, rows)

@@ -95,6 +95,19 @@ def adaptive_multiplier(entries: DataFrame, by: str, order: str, error: str, his
     return marked.withColumn("multiplier", mult).drop("__n", "__all", "__last")
 
 
+def learned_multiplier(entries: DataFrame, by: str, order: str, error: str, learns: Column, history: int, recent: int, least: int, sensitivity: float, low: float, high: float) -> DataFrame:
+    """entries with `multiplier`, as adaptive_multiplier gives it, over the earlier entries of the class that `learns`
+    holds for: the others (validation and test batches) read the state and never change it. order has no ties."""
+    after = Window.partitionBy(by, "__learns").orderBy(order)
+    whole, last = after.rowsBetween(1 - history, 0), after.rowsBetween(1 - recent, 0)
+    marked = entries.withColumn("__learns", F.coalesce(learns, F.lit(False)))
+    ratio = F.exp(F.lit(sensitivity) * (F.try_divide(F.avg(error).over(last), F.avg(error).over(whole)) - 1))
+    state = F.when(F.count(error).over(whole) < least, 1.0).otherwise(F.coalesce(F.least(F.greatest(ratio, F.lit(low)), F.lit(high)), F.lit(1.0)))
+    marked = marked.withColumn("__state", F.when(F.col("__learns"), state))
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return marked.withColumn("multiplier", F.coalesce(F.last("__state", True).over(before), F.lit(1.0))).drop("__learns", "__state")
+
+
 def cosine_restarts(epoch: Column, lr: float, period: int = 250, grow: int = 2, least: float = 1e-7) -> Column:
     """The learning rate of an epoch: a cosine fall over each period, periods growing by the factor."""
     cycle = F.floor(F.log(epoch * (grow - 1) / F.lit(period) + 1) / F.log(F.lit(float(grow))) + 1e-9) if grow > 1 else F.floor(epoch / F.lit(period))

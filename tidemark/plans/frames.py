@@ -258,6 +258,29 @@ def l_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.batched(e, "event_type", "o", 16, F.date_trunc("day", "ts")).select("event_type", "event_id", "batch")
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM events), c AS (SELECT greatest(1, n // (least(8, greatest(1, n // 100)) * 4)) AS size FROM n)
+SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // size AS chunk FROM events JOIN c ON TRUE""")
+def l_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in chunks for eight processes, four chunks each."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.struct("ts", "event_id").alias("o"))
+    size = splits.chunk_size(e.count(), 8, 4, 1)
+    return splits.batched(e, None, "o", size, F.date_trunc("day", "ts")).select("event_id", F.col("batch").alias("chunk"))
+
+
+@query("SELECT o_orderkey, o_custkey % 3 > 0 AS paired FROM orders")
+def k_missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a partner among some customers and those without one, in two places, read back."""
+    from tidemark.sources import sinks
+    from tidemark.streaming.checkpoints import fresh
+
+    at = fresh(spark)
+    orders = table(spark, sf_dir, "orders")
+    partners = orders.where("o_custkey % 3 > 0").select("o_custkey")
+    sinks.missing_pairs(orders.select("o_orderkey", "o_custkey"), partners, "o_custkey", f"{at}-paired", f"{at}-missing")
+    each = [spark.read.parquet(f"{at}-{n}").select("o_orderkey", F.lit(n == "paired").alias("paired")) for n in ("paired", "missing")]
+    return each[0].union(each[1])
+
+
 @query("SELECT event_type AS name, ts AS at, CAST(NULL AS DOUBLE) AS price FROM events UNION ALL SELECT o_orderstatus, o_orderdate, o_totalprice FROM orders")
 def u_ragged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("ts").alias("at"))

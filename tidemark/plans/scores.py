@@ -132,6 +132,32 @@ def x_adaptive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
 
 
+_LEARNED = f"""WITH {_BATCHES}, e AS (SELECT sat || '/' || class AS class, batch, avg(error) AS error FROM b GROUP BY 1, 2),
+h AS (SELECT class, batch, count(error) OVER a AS n, avg(error) OVER a AS overall, avg(error) OVER l AS recent FROM e WHERE batch % 5 < 3
+WINDOW a AS (PARTITION BY class ORDER BY batch ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), l AS (PARTITION BY class ORDER BY batch ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+m AS (SELECT class, batch, CASE WHEN n < 10 THEN 1.0 ELSE least(greatest(exp(0.8 * (recent / overall - 1)), 0.5), 3.0) END AS m FROM h)
+SELECT e.class AS class, e.batch AS batch, round(coalesce(m.m, 1.0), 6) AS multiplier FROM e ASOF LEFT JOIN m ON e.class = m.class AND e.batch > m.batch"""
+
+
+@query(_LEARNED)
+def x_train_only_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of five are for validation: they read the classes' state and don't change it."""
+    found = series.learned_multiplier(_entries(spark, sf_dir), "class", "batch", "error", F.col("batch") % 5 < 3, 200, 20, 10, 0.8, 0.5, 3.0)
+    return found.select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
+
+
+@query(f"WITH {PAIRS} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, pred AS predictions, truth AS groundtruth FROM p")
+def s_predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written as CSV with header and read back."""
+    from tidemark.sources import readers, sinks
+    from tidemark.streaming.checkpoints import fresh
+
+    path = f"{fresh(spark)}-predictions"
+    rows = pairs(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("pred").alias("predictions"), F.col("truth").alias("groundtruth"))
+    sinks.predictions_csv(rows, path)
+    return readers.predictions_csv(spark, path)
+
+
 @query("SELECT event_type, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN value <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS low, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def a_conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 10).alias("high"), F.count_if(F.col("value") <= 10).alias("low"), F.count_distinct("user_id").alias("users"))

@@ -103,3 +103,17 @@ def t_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     weights = Weights.seeded(4, 4, 2, 16, 32, 2, 4, -5.0, 0.5)
     return predicted(_images(spark, sf_dir), "vec_id", "embedding", weights)
+
+
+@query()
+def t_inference_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same model's flux and attention for each patch, in long form."""
+    found = t_inference(spark, sf_dir)
+    return found.select("vec_id", F.posexplode(F.arrays_zip("flux", "attention")).alias("patch", "x")).select("vec_id", "patch", "x.flux", "x.attention")
+
+
+@query("""WITH b AS (SELECT vec_id, embedding, list_position(embedding, list_max(embedding)) - 1 AS spot FROM embeddings),
+s AS (SELECT *, greatest(0, least(spot // 8 - 1, 5)) AS top, greatest(0, least(spot % 8 - 1, 5)) AS lft FROM b), i AS (SELECT *, unnest(range(0, 9)) AS pos FROM s)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, embedding[(top + pos // 3) * 8 + lft + pos % 3 + 1] AS value FROM i""")
+def p_brightest_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _images(spark, sf_dir).select("vec_id", F.posexplode(ar.brightest_patch(F.col("embedding"), 8, 8, 3)).alias("pos", "value"))

@@ -19,10 +19,11 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int | None = None
     return (reader.option("cleanSource", "delete") if delete else reader).parquet(path)
 
 
-def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: int, recent: int, least: int, sensitivity: float, low: float, high: float) -> DataFrame:
+def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: int, recent: int, least: int, sensitivity: float, low: float, high: float, learns: str | None = None) -> DataFrame:
     """(class, batch, multiplier) for each entry of a stream: what adaptive_multiplier gives in batch.
 
-    A class's state is its last `history` errors; an entry reads the state before it joins it. Entries of a class must
+    A class's state is its last `history` errors; an entry reads the state before it joins it. With `learns`, a boolean
+    column, only entries with true in it join the state: learned_multiplier in batch. Entries of a class must
     come in order over micro-batches; within one they are put in order, for which a task holds a class's entries of the
     micro-batch. Feed them by `in_ranges` to bound these.
     """
@@ -34,14 +35,14 @@ def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: i
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(order)
         out = []
-        for at, e in zip(rows[order], rows[error]):
+        for at, e, joins in zip(rows[order], rows[error], rows[learns] if learns else [True] * len(rows)):
             if len(held) < least:
                 m = 1.0
             else:
                 last = held[-recent:]
                 m = min(max(math.exp(sensitivity * ((sum(last) / len(last)) / (sum(held) / len(held)) - 1)), low), high)
             out.append((key[0], int(at), m))
-            held = [*held, float(e)][-history:]
+            held = [*held, float(e)][-history:] if joins else held
         state.update((held,))
         yield pd.DataFrame(out, columns=[cls, "batch", "multiplier"])
 
