@@ -48,3 +48,26 @@ def test_lookup_prunes_by_metadata(spark, sf_dir, tmp_path):
     found = orc_tokens.read(spark, str(tmp_path / "p"), [3, 77])
     assert sorted(r.doc_id for r in found.collect()) == [3, 77]
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+
+
+def test_ties_start_where_the_files_have_them(spark, tmp_path, tokenizer):
+    """Many rows with one id over several files: starts follow the stored order, and each has its own ids' checksum."""
+    docs = spark.createDataFrame([(7 if i % 3 else i, f"text {'x ' * (i % 11)}{i}") for i in range(200)], "doc_id long, text string").repartition(5)
+    orc_tokens.write(docs, str(tmp_path / "t"), PATH, file_bytes=100)
+    stored = [r.ids for f in sorted((tmp_path / "t").glob("part-*")) for r in sorted(spark.read.orc(str(f)).collect(), key=lambda r: r.place)]
+    rows = sorted(orc_tokens.summary(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert len(stored) == len(rows) == 200 and len({*(tmp_path / "t").glob("part-*")}) > 4
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in stored]
+    assert [r.start for r in rows] == [0, *np.cumsum([len(x) for x in stored])[:-1].tolist()]
+
+
+def test_a_tokenizer_of_other_steps_encodes_whole_texts():
+    source = open(PATH).read()
+    assert orc_tokens.words_stand_alone(source)
+    other = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    assert not orc_tokens.words_stand_alone(other) and not orc_tokens.words_stand_alone(source.replace('"Lowercase"', '"NFD"'))
+    texts = ["It's  a TEST of 2024!", "", "  x y"]
+    ids, sizes = orc_tokens._Words(other).encode([t.encode() for t in texts], 1)
+    want = [[*e.ids, 1] for e in Tokenizer.from_str(other).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
