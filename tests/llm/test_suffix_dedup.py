@@ -66,3 +66,14 @@ def test_every_way_gives_the_same(monkeypatch, most, piece, in_sort):
     answers = pa.concat_tables(suffix_dedup._shard(by(anchors, "bucket", b), by(sent, "bucket", b), length, anchor) for b in range(buckets))
     out = pa.concat_tables(suffix_dedup._kept(g, by(answers, "grp", i), length, anchor, False) for i, g in enumerate(groups))
     assert sorted(tuple(r.values()) for r in out.to_pylist()) == brute(rows, length)
+
+
+def test_an_anchor_with_very_many_contexts(spark):
+    """A passage with other surroundings in more texts than a shard takes contexts of one anchor, and one in two texts."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, rare, n = letters(80), letters(70), suffix_dedup.MOST_CONTEXTS + 200
+    rows = [(i, letters(40 + i % 50) + passage + letters(50)) for i in range(n)]
+    rows += [(n, letters(90) + rare + letters(9)), (n + 1, rare + letters(80)), (n + 2, passage[20:] + letters(60)), (n + 3, letters(200))]
+    got = sorted(map(tuple, suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=60, anchor=16).collect()))
+    assert got == brute(rows, 60) and sum(r[2] >= 80 for r in got) >= n

@@ -1,15 +1,16 @@
 """Suffix arrays by induced sorting over numpy arrays, and the common prefixes that go with them.
 
-The induced scans run bucket by bucket: all entries of a bucket's filled part hand on their predecessors at once, in
-order, so a scan is linear and takes a few array steps for each letter.
+Where a text has few letters the induced scans run bucket by bucket: all entries of a bucket's filled part hand on their
+predecessors at once, in order, so a scan is linear and takes a few array steps for each letter. The reduced strings of
+the recursion have many letters (names) for their length; there the same scans go entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings of more names than this are ordered by doubling ranks; a step for each letter would cost more.
-LETTERS = 1024
+#: A text with fewer places than this for each of its letters is scanned entry by entry.
+PLACES = 64
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -42,8 +43,8 @@ def _sorted(t: np.ndarray, depth: int) -> np.ndarray:
     at_lms[lms] = True
     first = order[at_lms[order]]  # in the order of the substrings up to the next of their kind
     names, count = _named(t, lms, first)
-    if count < len(lms):
-        first = lms[_sorted(np.r_[names + 1, 0], -(-depth // 2))[1:] if count <= LETTERS else _doubled(names, -(-depth // 2))]
+    if count < len(lms) and depth > 1:
+        first = lms[_sorted(np.r_[names + 1, np.int32(0)], -(-depth // 2))[1:]]
     return _induced(t, small, first, sizes)
 
 
@@ -51,6 +52,8 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarra
     """All suffixes from the leftmost-smaller ones: these go to their buckets' ends in the given order, then a scan
     upward places the larger suffixes and a scan downward the smaller ones."""
     n, ends = len(t), np.cumsum(sizes)
+    if n < PLACES * len(sizes):
+        return _induced_singly(t, small, lms, ends, sizes)
     heads, sa = ends - sizes, np.full(n, -1, np.int32)
     o = _stable(t[lms])
     by = t[lms[o]]
@@ -89,6 +92,30 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarra
     return sa
 
 
+def _induced_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What _induced gives, an entry at a time."""
+    letters, kinds, n = t.tolist(), small.tolist(), len(t)
+    heads, tails, sa = (ends - sizes).tolist(), ends.tolist(), [-1] * n
+    for at in lms[::-1].tolist():
+        c = letters[at]
+        tails[c] -= 1
+        sa[tails[c]] = at
+    for at in sa:  # grows ahead of the scan
+        if at > 0 and not kinds[at - 1]:
+            c = letters[at - 1]
+            sa[heads[c]] = at - 1
+            heads[c] += 1
+    tails = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        at = sa[i]
+        if at > 0 and kinds[at - 1]:
+            c = letters[at - 1]
+            tails[c] -= 1
+            sa[tails[c]] = at - 1
+    sa[0] = n - 1
+    return np.array(sa, np.int32)
+
+
 def _named(t: np.ndarray, lms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, int]:
     """A number for each leftmost-smaller substring, in text order: equal for equal substrings, rising with their order."""
     lengths = np.zeros(len(t), np.int32)
@@ -107,21 +134,6 @@ def _named(t: np.ndarray, lms: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return number[lms], int((~same).sum()) + 1
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of names, by ranks over spans that double until they differ or reach the depth."""
-    rank, span = names.astype(np.int64) + 1, 1
-    while span < depth:
-        key = rank * (len(rank) + 2) + np.r_[rank[span:], np.zeros(min(span, len(rank)), np.int64)][: len(rank)]
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.r_[True, ordered[1:] != ordered[:-1]]
-        rank[order] = np.cumsum(new)
-        if new.all():
-            break
-        span *= 2
-    return np.argsort(rank, kind="stable")
-
-
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each position: the suffix just before it in the array (-1: none), and how many bytes they share, up to `most`.
 
