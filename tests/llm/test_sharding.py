@@ -36,3 +36,27 @@ def test_edge_cases(spark, tmp_path):
     rows = sharding.shard(docs, str(tmp_path / "a"), 3).collect()
     assert len(rows) == 5 and sorted(r["size"] for r in rows) == [16, 16, 18, 18, 100_016]
     assert sharding.shard(docs.limit(0), str(tmp_path / "b"), 3).count() == 0
+
+
+def test_deal_against_brute_force(spark, tmp_path):
+    """Slots' bytes summed and dealt in plain Python, largest first to the shard that holds least; positions count on by
+    virtual slot."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    records = {r.doc_id: r for r in sharding.records(docs, 256).collect()}
+    bytes_of, n_of = Counter(), Counter()
+    for r in records.values():
+        bytes_of[r.vslot] += r["size"]
+        n_of[r.vslot] += 1
+    held, shard_of, begin, counts = [0] * 7, {}, {}, Counter()
+    for v in sorted(bytes_of, key=lambda v: (-bytes_of[v], -v)):
+        shard_of[v] = held.index(min(held))
+        held[shard_of[v]] += bytes_of[v]
+    for v in sorted(shard_of):
+        begin[v] = counts[shard_of[v]]
+        counts[shard_of[v]] += n_of[v]
+    rows = sharding.shard(docs, str(tmp_path / "m"), 7, 256).collect()
+    assert {r.doc_id: r.shard for r in rows} == {d: shard_of[r.vslot] for d, r in records.items()}
+    for r in rows:
+        v = records[r.doc_id].vslot
+        assert begin[v] <= r.slot < begin[v] + n_of[v]
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows)
