@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import mixed, rolled, word_hashes
+from tidemark.llm.blocks import PIECE, mixed, rolled, word_hashes
 from tidemark.llm.common import cut, utf8
 from tidemark.llm.components import components, joined
 from tidemark.llm.simhash import HASHED, block_masks, embedding, linked_in_cells
@@ -44,6 +45,16 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
+def slices(batch: pa.RecordBatch, text: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of its text column, a row each at least."""
+    total = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def sketch(found: np.ndarray) -> list[int]:
     """Four fingerprints of a set of hashes, as signed longs: a bit is 1 if set in over half of them."""
     ones = np.zeros(64 * len(WORDS), np.int64)
@@ -58,7 +69,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     source = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = shingle_sets([x.as_py() or b"" for x in batch.column(1)], shingle)
             wide = np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(WORDS))
             columns = [batch.column(0), pa.array(_set_hashes(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(wide[:, i]) for i in range(len(WORDS)))]
@@ -118,7 +129,7 @@ def exact_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).join(asked, "id").select("same", "cells", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             sets = shingle_sets([x.as_py() or b"" for x in batch.column(2)], shingle)
             own = pa.array(_set_hashes(sets) == np.asarray(batch.column(0)))  # another row with this id may have another text
             sets = pa.array([s.tobytes() for s in sets], pa.binary())
