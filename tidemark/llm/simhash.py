@@ -106,10 +106,11 @@ def _embedded(x: np.ndarray) -> np.ndarray:
     return ((x | (x >> one)) & odd) | ((x & (x >> one) & odd) << one)
 
 
-def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int, stars: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that join whatever is joined within each cell; cell is in order, and fp has a fingerprint or a row of them for
     each place. A cell with as many links as rows, or a large one, gets a spanning forest of the pairs within the radius;
-    so links grow with a cell's size and not with the square."""
+    so links grow with a cell's size and not with the square. With `stars`, a tree's members are all linked to its first one
+    instead, which may be farther: as the first in order is often the same in many cells, far fewer links differ."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     number = np.repeat(np.arange(len(starts)), sizes)
@@ -133,12 +134,12 @@ def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple
     for at, size in zip(starts[forest], sizes[forest]):
         left = fp[at : at + size]
         while len(left):
-            reached, left = [left[:1]], left[1:]
+            reached, first, left = [left[:1]], left[0], left[1:]
             while reached and len(left):
                 for node in reached.pop():
                     near = _near(node, left, radius)
                     if near.any():
-                        yield np.repeat(node[None], near.sum(), axis=0), left[near]
+                        yield np.repeat((first if stars else node)[None], near.sum(), axis=0), left[near]
                         reached.append(left[near])
                         left = left[~near]
 
@@ -154,13 +155,14 @@ def links(distinct: DataFrame, fp_col: str = "simhash", radius: int = 3, blocks:
     return linked_in_cells(distinct, [fp_col], cells, radius)
 
 
-def linked_in_cells(distinct: DataFrame, words: Sequence[str], cells: Sequence[Column], radius: int) -> DataFrame:
+def linked_in_cells(distinct: DataFrame, words: Sequence[str], cells: Sequence[Column], radius: int, stars: bool = False) -> DataFrame:
     """(a, a1, a2, ..., b, b1, b2, ...) pairs of different fingerprints, of one or more words of 64 bits, whose links join
-    all that share a cell and lie within the radius over all bits."""
+    all that share a cell and lie within the radius over all bits. With `stars` the ends of a link may lie farther apart,
+    if others tie them together."""
     fps = ["fp", *(f"fp{i}" for i in range(1, len(words)))]
     names = [c + n[2:] for c in "ab" for n in fps]
     rows = distinct.select(F.explode(F.array(*cells)).alias("cell"), *(F.col(w).alias(n) for w, n in zip(words, fps)))
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "fp")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", *fps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -180,7 +182,7 @@ def linked_in_cells(distinct: DataFrame, words: Sequence[str], cells: Sequence[C
             return
         cell, *fp = (np.concatenate(x) for x in zip(*held))
         wide = (np.stack(fp, axis=1) if len(fp) > 1 else fp[0]).view(np.uint64)
-        for pair in _cell_links(cell, wide, radius):
+        for pair in _cell_links(cell, wide, radius, stars):
             if len(pair[0]):
                 ends = (end.view(np.int64).reshape(-1, len(fps)) for end in pair)
                 yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for end in ends for c in end.T], names=names)

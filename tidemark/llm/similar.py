@@ -97,7 +97,7 @@ def neighbourhoods(sets: DataFrame, similarity: float) -> DataFrame:
     limit = int(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
     nodes = cut(sets.groupBy(*WORDS).agg(F.min("same").alias("node"), F.count("*").alias("of_sketch")))
     embedded = nodes.select(*WORDS, *(embedding(F.col(w)).alias(f"e{w}") for w in WORDS))
-    pairs = linked_in_cells(embedded, WORDS, _cells([f"e{w}" for w in WORDS]), limit).distinct()
+    pairs = linked_in_cells(embedded, WORDS, _cells([f"e{w}" for w in WORDS]), limit, stars=True).distinct()
     for c, name in (("a", "x"), ("b", "y")):
         ends = [F.col(w).alias(f"{c}{i or ''}") for i, w in enumerate(WORDS)]
         pairs = pairs.join(nodes.select(*ends, F.col("node").alias(name)), [f"{c}{i or ''}" for i in range(len(WORDS))])
