@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,22 @@ def test_nulls_empty_and_repeated_rows(spark):
     assert found == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (7, 7), (8, 7), (9, 9)]
     assert similar.similar_groups(df.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in similar.one_of_each(df).collect()) == ["1", "4", "6", "7", "9", "None"]
+
+
+def test_contracted_links_join_the_same(spark):
+    """Links of many members to many firsts against their union in plain Python: the same parts, with far fewer links."""
+    draw, groups = random.Random(5), [(range(0, 20), range(20, 300)), (range(300, 303), range(303, 310)), (range(400, 401), range(401, 402))]
+    links = {(f, m) for firsts, members in groups for m in members for f in draw.sample(list(firsts), min(15, len(firsts)))}
+    columns = [c + n for c in "ab" for n in ("", "1", "2", "3")]
+    rows = spark.createDataFrame([(a, 0, 0, -a, b, 0, 0, -b) for a, b in links], ", ".join(f"{c} long" for c in columns))
+    found = [(r.a, r.b) for r in similar.contracted(rows).collect()]
+
+    def parts(pairs):
+        of = {x: x for pair in links for x in pair}
+        for a, b in pairs:
+            old, new = of[a], of[b]
+            of = {x: new if y == old else y for x, y in of.items()}
+        return sorted(sorted(x for x in of if of[x] == y) for y in set(of.values()))
+
+    assert parts(found) == parts(links) and all(a < b for a, b in found)
+    assert len(found) < len(links) / 5 and similar.contracted(rows.limit(0)).count() == 0

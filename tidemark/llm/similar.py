@@ -89,6 +89,19 @@ def _cells(words: list[str]) -> list[Column]:
     return [F.xxhash64(F.lit(i), *(blocks[(at + s) % len(blocks)] for s in steps)) for i, (at, steps) in enumerate((a, s) for s in STEPS for a in range(len(blocks)))]
 
 
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Fewer links that join the same sketches: a sketch and all that it is linked to are tied to the least of these.
+
+    The cells of a large group have different first members, so a sketch has a link for each cell at first; but the first
+    members are few, and what ties them together is the same for many sketches. A sketch has one link in a cell that gave
+    a forest, and fewer than the cell's rows in a small one, so its list is bounded by the number of cells.
+    """
+    of = lambda c: F.struct(*(F.col(f"{c}{i or ''}").alias(w) for i, w in enumerate(WORDS)))
+    around = pairs.groupBy(of("b").alias("b")).agg(F.collect_set(of("a")).alias("firsts"))
+    tied = around.select(F.array_min("firsts").alias("a"), F.explode(F.array_append("firsts", F.col("b"))).alias("b")).where("a <> b").distinct()
+    return tied.select(*(F.col(f"{c}.{w}").alias(f"{c}{i or ''}") for c in "ab" for i, w in enumerate(WORDS)))
+
+
 def neighbourhoods(sets: DataFrame, similarity: float) -> DataFrame:
     """(same, own, n, w0..w3, root, texts, shingles) of the sets that may be alike others: the neighbourhood of each, and
     how much is in it. `sets` has a row for each different set."""
@@ -97,7 +110,7 @@ def neighbourhoods(sets: DataFrame, similarity: float) -> DataFrame:
     limit = int(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
     nodes = cut(sets.groupBy(*WORDS).agg(F.min("same").alias("node"), F.count("*").alias("of_sketch")))
     embedded = nodes.select(*WORDS, *(embedding(F.col(w)).alias(f"e{w}") for w in WORDS))
-    pairs = linked_in_cells(embedded, WORDS, _cells([f"e{w}" for w in WORDS]), limit, stars=True).distinct()
+    pairs = contracted(linked_in_cells(embedded, WORDS, _cells([f"e{w}" for w in WORDS]), limit, stars=True))
     for c, name in (("a", "x"), ("b", "y")):
         ends = [F.col(w).alias(f"{c}{i or ''}") for i, w in enumerate(WORDS)]
         pairs = pairs.join(nodes.select(*ends, F.col("node").alias(name)), [f"{c}{i or ''}" for i in range(len(WORDS))])
