@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, sharding, simhash, spiece, substring_dedup, suffix_dedup
+from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, sharding, simhash, spiece, substring_dedup, suffix_dedup, variants
 from tidemark.llm.common import scratch, table
 
 
@@ -64,8 +64,12 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.counted(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk, op12_spelling_variants)}
 
 
 OP10_SQL = """
@@ -90,6 +94,26 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
 
+OP12_SQL = """
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+each AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(k, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM each),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes, tab),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+spots AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM v),
+gone AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS d FROM spots),
+near AS (SELECT a.word AS word, b.word AS near, b.n AS near_n FROM gone a JOIN gone b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM gone a JOIN v ON a.d = v.word UNION SELECT v.word, a.word, a.n FROM gone a JOIN v ON a.d = v.word),
+best AS (SELECT word, CAST(count(*) AS BIGINT) AS n_near, min(ROW(-near_n, near)) AS b FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT v.word AS word, v.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 5 * v.n THEN b[2] END AS form, CASE WHEN -b[1] >= 5 * v.n THEN CAST(-b[1] AS BIGINT) END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk AS (SELECT word, word AS last_word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.last_word WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word AS word, w.last_word AS root FROM walk w JOIN formed f ON f.word = w.last_word WHERE f.form IS NULL)
+SELECT f.word AS word, form, root, n, n_near, form_n FROM formed f JOIN ends ON ends.word = f.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: hashes, tokenizers, learned centroids, greedy dealing, edit distances."""
-    return {"op9_substring_dedup": OP9_SQL, "op10_bit_sliced_topk": OP10_SQL}
+    return {"op9_substring_dedup": OP9_SQL, "op10_bit_sliced_topk": OP10_SQL, "op12_spelling_variants": OP12_SQL}
