@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, sharding, simhash, spiece, substring_dedup, suffix_dedup, variants
+from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, prefix_trie, sharding, simhash, spiece, substring_dedup, suffix_dedup, variants
 from tidemark.llm.common import scratch, table
 
 
@@ -68,8 +68,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(variants.counted(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.runs(table(spark, sf_dir, "conversations"))))
+    found = prefix_trie.with_parents(nodes).join(prefix_trie.ends_sha256(ends), "node", "left")
+    sha = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), sha)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk, op12_spelling_variants, op13_prefix_trie)}
 
 
 OP10_SQL = """
@@ -114,6 +121,25 @@ SELECT f.word AS word, form, root, n, n_near, form_n FROM formed f JOIN ends ON
 """
 
 
+OP13_SQL = """
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: unicode(x)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), tab),
+parts AS (SELECT c.conv_id AS conv_id, 0 AS section, p, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND p > h),
+steps AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, string_agg(md5(length(role) || ' ' || role || text), '') OVER w AS path FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY section, p ROWS UNBOUNDED PRECEDING)),
+members AS MATERIALIZED (SELECT conv_id, depth, chars, path FROM steps UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS MATERIALIZED (SELECT path, max(depth) AS depth, max(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs FROM members GROUP BY path),
+last AS (SELECT conv_id, max_by(path, depth) AS path FROM members GROUP BY conv_id),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM last GROUP BY path),
+kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (SELECT left(n.path, 32 * i) AS path, (n_convs - 1) * chars AS saved, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM nodes) n LEFT JOIN kids ON kids.path = n.path),
+sums AS (SELECT path, sum(saved) AS saved, sum(leaf) AS leaves FROM up GROUP BY path)
+SELECT n.conv_id AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs AS n_convs, coalesce(kids.n, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums ON sums.path = n.path LEFT JOIN kids ON kids.path = n.path LEFT JOIN ends ON ends.path = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 32)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the others: hashes, tokenizers, learned centroids, greedy dealing, edit distances."""
-    return {"op9_substring_dedup": OP9_SQL, "op10_bit_sliced_topk": OP10_SQL, "op12_spelling_variants": OP12_SQL}
+    return {"op9_substring_dedup": OP9_SQL, "op10_bit_sliced_topk": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_prefix_trie": OP13_SQL}
