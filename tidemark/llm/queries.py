@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, prefix_trie, sharding, simhash, spiece, substring_dedup, suffix_dedup, variants
+from tidemark.llm import bitslice, decontaminate, langid, orc_tokens, pii, prefix_trie, sharding, simhash, spiece, substring_dedup, suffix_dedup, toxicity, variants
 from tidemark.llm.common import scratch, table
 
 
@@ -64,6 +64,12 @@ def op10_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(variants.counted(table(spark, sf_dir, "documents")))
 
@@ -76,7 +82,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk, op12_spelling_variants, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_sentencepiece, op4_token_orc, op5_suffix_dedup, op6_sharding, op7_decontamination, op8_pii_surrogates, op9_substring_dedup, op10_bit_sliced_topk, op11_toxicity, op12_spelling_variants, op13_prefix_trie)}
 
 
 OP10_SQL = """
