@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of label 1 and of label 0 that the model is fitted on, about; windows of each row.
-SAMPLE, WINDOWS = (1_000, 3_000), 64
+SAMPLE, WINDOWS = (1_000, 3_000), 128
 #: Hash bits of the table, its width, words of a window, words whose scores a task keeps, letters of a text taken at once.
-BITS, DIM, WINDOW, CACHE, PART = 18, 8, 16, 1 << 18, 1 << 20
+BITS, DIM, WINDOW, CACHE, PART = 18, 8, 8, 1 << 18, 1 << 20
 THRESHOLD = 0.3
 #: Texts of the sample that an n-gram must be in; how strongly vectors are pulled to zero.
 LEAST, DECAY = 8, 1e-5
