@@ -112,6 +112,18 @@ def t_inference_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.posexplode(F.arrays_zip("flux", "attention")).alias("patch", "x")).select("vec_id", "patch", "x.flux", "x.attention")
 
 
+@query()
+def t_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, loss, n) of four steps over all images, two batches in turn: the label's place in its range as target."""
+    from tidemark.operators.training import trained
+    from tidemark.operators.transformer import Weights
+    from tidemark.streaming.checkpoints import fresh
+
+    weights = Weights.seeded(4, 4, 2, 16, 32, 2, 4, -5.0, 0.5)
+    rows = _images(spark, sf_dir).select("embedding", (F.col("label") / 4.0).alias("target"), F.pmod("vec_id", F.lit(2)).alias("batch"))
+    return trained(rows, "embedding", "target", weights, fresh(spark), 4, 0.003, F.col("batch"), 2)[1]
+
+
 @query("""WITH b AS (SELECT vec_id, embedding, list_position(embedding, list_max(embedding)) - 1 AS spot FROM embeddings),
 s AS (SELECT *, greatest(0, least(spot // 8 - 1, 5)) AS top, greatest(0, least(spot % 8 - 1, 5)) AS lft FROM b), i AS (SELECT *, unnest(range(0, 9)) AS pos FROM s)
 SELECT vec_id, CAST(pos AS INTEGER) AS pos, embedding[(top + pos // 3) * 8 + lft + pos % 3 + 1] AS value FROM i""")
