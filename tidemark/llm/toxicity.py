@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     rows = docs.where(F.lit(True) if learn is None else learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     counts = {r.label: r.n for r in rows.select("id").join(marks, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, sample[0] / counts.get(1, 1))).otherwise(min(1.0, sample[1] / counts.get(0, 1)))
+    # about sum(sample) rows, whatever the input, so that texts stay where they are
     chosen = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20) < share)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         return pa.table({"table": pa.array([model.table.tobytes()], pa.binary()), "bias": [model.bias]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    some = rows.join(chosen, "id").select("id", "text", "label").mapInArrow(cut_up, f"one int, id {kind}, windows string, label int")
+    some = rows.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(cut_up, f"one int, id {kind}, windows string, label int")
     found = some.groupBy("one").applyInArrow(learned, "table binary, bias double").collect()  # one model of a fixed size
     return Model(np.frombuffer(found[0].table, np.float32), found[0].bias) if found else train([], np.zeros(0))
 
