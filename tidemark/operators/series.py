@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.streaming.checkpoints import fresh
+
 
 def in_part(by: str | None, part: Column | None) -> Column:
     """A key for a range of a series' order, from its key and the range; never null, so that it can be joined by."""
@@ -58,19 +65,109 @@ def thinned(rows: DataFrame, order: str, ts: str, by: str, part: Column | None =
     return marked.where(F.col("__before").isNull() | (F.col(ts) > F.col("__before"))).select(rows.columns)
 
 
-def thinned_anywhere(rows: DataFrame, ts: str, seconds: int, by: list[str]) -> DataFrame:
-    """Greedy thinning off any grid, in time order; a group's times go through one pass in its task."""
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        times, kept, last = pdf[ts].tolist(), [], None
-        for t in times:
-            kept.append(last is None or (t - last).total_seconds() >= seconds)
-            last = t if kept[-1] else last
-        return pdf[kept]
-
-    return rows.groupBy(*by).applyInPandas(keep, rows.schema)
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of (__by, __part) as tables of whole groups, with where each group begins."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not len(t):
+            continue
+        differs = [pc.not_equal(t[c].slice(1), t[c].slice(0, len(t) - 1)).combine_chunks().to_numpy(zero_copy_only=False) for c in ("__by", "__part")]
+        starts = np.r_[0, np.flatnonzero(differs[0] | differs[1]) + 1]
+        held = t.slice(starts[-1])
+        if starts[-1]:
+            yield t.slice(0, starts[-1]), starts[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def _jumps(t: pa.Table, starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The times, and for each the row of its group's first time a step or more later; a row without one points to itself."""
+    us = t["__us"].to_numpy()
+    ends = np.r_[starts[1:], len(us)]
+    jump, a = np.arange(len(us)), 0
+    while a < len(starts):  # groups side by side on one line, as many as its length allows
+        spans = us[ends[a:] - 1] - us[starts[a:]] + step + 1
+        b = min(len(starts), a + max(1, int(np.searchsorted(np.cumsum(spans.astype(float)), 2.0**61))))
+        sizes, low, high = ends[a:b] - starts[a:b], starts[a], ends[b - 1]
+        line = us[low:high] - np.repeat(us[starts[a:b]] - np.r_[0, np.cumsum(spans[: b - a])[:-1]], sizes)
+        found = low + np.searchsorted(line, line + step)
+        inside = found < np.repeat(ends[a:b], sizes)
+        jump[low:high] = np.where(inside, found, jump[low:high])
+        a = b
+    return us, jump
+
+
+def thinned_anywhere(rows: DataFrame, ts: str, seconds: int, by: list[str], tie: str | None = None, part: Column | None = None) -> DataFrame:
+    """Greedy thinning off any grid: in time order, rows that come a full step or more after the last kept one. Of rows at
+    one time that with the least `tie` is kept (one of them without it); rows without a time go.
+
+    `part` is a range of ts. The pass depends on all kept rows before, so a part first answers for each time it has:
+    were this the first one kept here, which would be the last? Its successor is the first time of later parts a step
+    or more after that. These successors form a small graph between parts, which is walked from each series' first time
+    by doubling; then each part goes from where the walk entered it.
+    """
+    spark, step = rows.sparkSession, seconds * 1_000_000
+    zoned = rows.schema[ts].dataType.typeName() == "timestamp"
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    interval = lambda c: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (c.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    back = lambda c: F.timestamp_micros(c) if zoned else epoch + interval(c)
+    micros = F.unix_micros(F.col(ts)) if zoned else F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
+    series_of = F.to_json(F.struct(*by)) if by else F.lit("")
+    named = rows.where(F.col(ts).isNotNull()).withColumns({"__by": series_of, "__us": micros, "__part": F.coalesce((F.lit(0) if part is None else part).cast("string"), F.lit(""))})
+    times = named.select("__by", "__part", "__us").distinct()
+
+    def last_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _whole_groups(batches):
+            us, jump = _jumps(t, starts, step)
+            while (jump[jump] != jump).any():
+                jump = jump[jump]
+            yield from t.append_column("__exit", pa.array(us[jump])).to_batches()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _whole_groups(batches):
+            us, jump = _jumps(t, starts, step)
+            at = np.flatnonzero(us == t["__enter"].to_numpy())  # where the walk enters: one row of each group
+            chosen = np.zeros(len(us), bool)
+            while len(at):
+                chosen[at] = True
+                at = jump[at][jump[at] != at]
+            yield from t.filter(pa.array(chosen)).select(["__by", "__us"]).to_batches()
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition("__by", "__part").sortWithinPartitions("__by", "__part", "__us")
+
+    def table(df: DataFrame) -> DataFrame:
+        path = fresh(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    inside = table(grouped(times).mapInArrow(last_kept, "__by string, __part string, __us long, __exit long"))
+    # the first time at or after each exit and a step, over parts
+    asked = inside.select("__by", (F.col("__exit") + step).alias("__us"), F.col("__exit")).distinct()
+    points = inside.select("__by", "__us", F.lit(None).cast("long").alias("__exit")).unionByName(asked).withColumn(ts, back(F.col("__us")))
+    seen = F.when(F.col("__exit").isNull(), F.col("__us"))
+    points = _with_carries(points, "__by", None if part is None else part, **({} if part is None else {"__later": (F.min(seen), False)}))
+    ahead = F.last(seen, True).over(Window.partitionBy("__part").orderBy(F.col("__us").desc(), F.col("__exit").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    nexts = points.withColumn("__next", ahead if part is None else F.coalesce(ahead, "__later")).where("__exit IS NOT NULL").select("__by", "__exit", "__next")
+    jumps = inside.select("__by", "__us", "__exit").join(nexts, ["__by", "__exit"], "left").select("__by", "__us", "__next")
+    first = inside.groupBy("__by").agg(F.min("__us").alias("__us"))
+    reached = table(first)
+    entries = reached.unionByName(nexts.where("__next IS NOT NULL").select("__by", F.col("__next").alias("__us"))).distinct()
+    graph = table(jumps.join(entries, ["__by", "__us"]).where("__next IS NOT NULL"))
+    while True:
+        more = reached.join(graph, ["__by", "__us"]).select("__by", F.col("__next").alias("__us"))
+        grown = table(reached.unionByName(more).distinct())
+        if grown.count() == reached.count():
+            break
+        reached = grown
+        further = graph.select("__by", F.col("__us").alias("__next"), F.col("__next").alias("__after"))
+        graph = table(graph.join(further, ["__by", "__next"]).select("__by", "__us", F.col("__after").alias("__next")))
+    entered = inside.select("__by", "__part", "__us").join(reached, ["__by", "__us"]).groupBy("__by", "__part").agg(F.min("__us").alias("__enter"))
+    chosen = grouped(inside.select("__by", "__part", "__us").join(entered, ["__by", "__part"])).mapInArrow(kept, "__by string, __us long")
+    order = Window.partitionBy("__by", "__us").orderBy(tie or "__us")
+    ranked = named.join(chosen, ["__by", "__us"], "left_semi").withColumn("__rank", F.row_number().over(order))
+    return ranked.where("__rank = 1").select(rows.columns)
 
 
 def next_valid(rows: DataFrame, by: str, order: str, value: str, part: Column | None = None) -> DataFrame:
@@ -84,28 +181,47 @@ def next_valid(rows: DataFrame, by: str, order: str, value: str, part: Column |
     return marked.withColumns({"__ahead": ahead, "__by": F.struct(by)}).join(first, "__by").withColumn("used", F.coalesce("__ahead", *later, "__first")).drop("__ahead", "__later", "__first", "__part", "__by")
 
 
-def adaptive_multiplier(entries: DataFrame, by: str, order: str, error: str, history: int, recent: Column | int, least: Column | int, sensitivity: Column, low: Column, high: Column) -> DataFrame:
-    """entries with `multiplier`: exp(sensitivity (recent mean / overall mean - 1)) within limits, over the entries of
-    the class before this one; 1 while there are fewer than `least`. `recent` is one number of rows for all classes."""
-    w = Window.partitionBy(by).orderBy(order)
-    over, last = w.rowsBetween(-history, -1), w.rowsBetween(-int(recent), -1)
-    marked = entries.withColumns({"__n": F.count(error).over(over), "__all": F.avg(error).over(over), "__last": F.avg(error).over(last)})
-    ratio = F.exp(sensitivity * (F.try_divide("__last", "__all") - 1))
-    mult = F.when(F.col("__n") < least, 1.0).otherwise(F.coalesce(F.least(F.greatest(ratio, low), high), F.lit(1.0)))
-    return marked.withColumn("multiplier", mult).drop("__n", "__all", "__last")
-
-
-def learned_multiplier(entries: DataFrame, by: str, order: str, error: str, learns: Column, history: int, recent: int, least: int, sensitivity: float, low: float, high: float) -> DataFrame:
-    """entries with `multiplier`, as adaptive_multiplier gives it, over the earlier entries of the class that `learns`
-    holds for: the others (validation and test batches) read the state and never change it. order has no ties."""
-    after = Window.partitionBy(by, "__learns").orderBy(order)
-    whole, last = after.rowsBetween(1 - history, 0), after.rowsBetween(1 - recent, 0)
-    marked = entries.withColumn("__learns", F.coalesce(learns, F.lit(False)))
-    ratio = F.exp(F.lit(sensitivity) * (F.try_divide(F.avg(error).over(last), F.avg(error).over(whole)) - 1))
-    state = F.when(F.count(error).over(whole) < least, 1.0).otherwise(F.coalesce(F.least(F.greatest(ratio, F.lit(low)), F.lit(high)), F.lit(1.0)))
-    marked = marked.withColumn("__state", F.when(F.col("__learns"), state))
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.withColumn("multiplier", F.coalesce(F.last("__state", True).over(before), F.lit(1.0))).drop("__learns", "__state")
+def _remembered(entries: DataFrame, by: str, index: str, error: str, history: int, recent: int, per_part: int) -> DataFrame:
+    """(by, index, n, overall, latest): after each entry, how many errors its class's last `history` entries have, and the
+    means of these and of the last `recent` ones. index counts a class's entries from 1.
+
+    A class is cut into parts of at least `history` entries; each part also gets the last entries before it, so that every
+    frame lies in one part, whose rows one task holds.
+    """
+    size = max(per_part, history)
+    own = F.floor((F.col(index) - 1) / size)
+    to_next = (F.col(index) - 1) % size >= size - (history - 1)
+    halo = entries.select(by, index, error, F.explode(F.when(to_next, F.array(own, own + 1)).otherwise(F.array(own))).alias("__part"))
+    w = Window.partitionBy(by, "__part").orderBy(index)
+    whole, last = w.rowsBetween(1 - history, 0), w.rowsBetween(1 - recent, 0)
+    found = halo.select(by, index, F.count(error).over(whole).alias("__n"), F.avg(error).over(whole).alias("__all"), F.avg(error).over(last).alias("__last"), (F.col("__part") == own).alias("__own"))
+    return found.where("__own").drop("__own")
+
+
+def learned_multiplier(entries: DataFrame, by: str, order: str, error: str, learns: Column, history: int, recent: int, least: Column | int, sensitivity: Column | float, low: Column | float, high: Column | float, part: Column | None = None, per_part: int = 1 << 16) -> DataFrame:
+    """entries with `multiplier`: exp(sensitivity (recent mean / overall mean - 1)) within limits, over the last `history`
+    entries of the class before this one that `learns` holds for, 1 while there are fewer than `least` (null errors don't
+    count). The others (validation and test batches) read the state and never change it. order has no ties.
+
+    `part` is a range of the order: with it, a class is many tasks' work. Entries get their number by counts of the
+    parts; the state after each number is computed over parts of `per_part` entries and met by number.
+    """
+    marked = entries.withColumns({"__learns": F.coalesce(learns, F.lit(False)).cast("long"), "__part": in_part(by, part)})
+    earlier = Window.partitionBy("__part.by").orderBy("__part.range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("__part").agg(F.sum("__learns").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    upto = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("__seen", F.sum("__learns").over(upto))
+    marked = (marked.withColumn("__n", F.lit(0)) if part is None else marked.join(counts, "__part")).withColumn("__seen", F.col("__seen") + F.col("__n"))
+    means = _remembered(marked.where("__learns = 1").select(F.struct(by).alias("__by"), "__seen", error), "__by", "__seen", error, history, recent, per_part)
+    read = marked.drop("__n").withColumns({"__by": F.struct(by), "__seen": F.col("__seen") - F.col("__learns")}).join(means, ["__by", "__seen"], "left")
+    ratio = F.exp(F.lit(sensitivity) * (F.try_divide("__last", "__all") - 1))
+    state = F.when(F.coalesce("__n", F.lit(0)) < least, 1.0).otherwise(F.coalesce(F.least(F.greatest(ratio, F.lit(low)), F.lit(high)), F.lit(1.0)))
+    return read.select(*entries.columns, state.alias("multiplier"))
+
+
+def adaptive_multiplier(entries: DataFrame, by: str, order: str, error: str, history: int, recent: int, least: Column | int, sensitivity: Column | float, low: Column | float, high: Column | float, part: Column | None = None, per_part: int = 1 << 16) -> DataFrame:
+    """learned_multiplier where every entry changes the state after it was read."""
+    return learned_multiplier(entries, by, order, error, F.lit(True), history, recent, least, sensitivity, low, high, part, per_part)
 
 
 def cosine_restarts(epoch: Column, lr: float, period: int = 250, grow: int = 2, least: float = 1e-7) -> Column:

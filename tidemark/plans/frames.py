@@ -202,6 +202,15 @@ def w_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.thinned(rows, "o", "t", "event_type", F.substring(F.col("o").getField("stem"), 1, 10)).select("event_type", "event_id")
 
 
+@query("""WITH RECURSIVE k AS (SELECT event_type, min(ts) AS t FROM events GROUP BY event_type
+UNION ALL SELECT k.event_type, min(e.ts) FROM k JOIN events e ON e.event_type = k.event_type AND e.ts >= k.t + INTERVAL 1 HOUR GROUP BY k.event_type)
+SELECT k.event_type AS event_type, min(event_id) AS event_id FROM k JOIN events e ON e.event_type = k.event_type AND e.ts = k.t GROUP BY k.event_type, k.t""")
+def w_thinning_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events an hour or more apart, off any grid, over days."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
+    return series.thinned_anywhere(rows, "ts", 3600, ["event_type"], "event_id", F.date_trunc("day", "ts")).select("event_type", "event_id")
+
+
 @query(f"""WITH f AS (SELECT event_type AS sat, CASE WHEN event_id % 2 = 0 THEN 'b.csv' ELSE 'a.csv' END AS file, event_id FROM events WHERE event_id % 5 > 0 OR event_type <> 'view'),
 m AS (SELECT sat, min(file) AS file FROM f GROUP BY sat) SELECT f.sat AS sat, event_id FROM f JOIN m ON f.sat = m.sat AND f.file = m.file""")
 def w_one_file_each(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ADAPTIVE)
 def w_adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series.adaptive_multiplier(_entries(spark, sf_dir), "class", "batch", "error", 200, 20, 10, F.lit(0.8), F.lit(0.5), F.lit(3.0))
+    found = series.adaptive_multiplier(_entries(spark, sf_dir), "class", "batch", "error", 200, 20, 10, 0.8, 0.5, 3.0, F.floor(F.col("batch") / 512), 512)
     return found.select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
 
 
@@ -142,7 +142,7 @@ SELECT e.class AS class, e.batch AS batch, round(coalesce(m.m, 1.0), 6) AS multi
 @query(_LEARNED)
 def x_train_only_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of five are for validation: they read the classes' state and don't change it."""
-    found = series.learned_multiplier(_entries(spark, sf_dir), "class", "batch", "error", F.col("batch") % 5 < 3, 200, 20, 10, 0.8, 0.5, 3.0)
+    found = series.learned_multiplier(_entries(spark, sf_dir), "class", "batch", "error", F.col("batch") % 5 < 3, 200, 20, 10, 0.8, 0.5, 3.0, F.floor(F.col("batch") / 512), 512)
     return found.select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
 
 

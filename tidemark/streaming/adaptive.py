@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 ENTRY = "batch long, multiplier double"
 
@@ -27,24 +29,21 @@ def multipliers(entries: DataFrame, cls: str, order: str, error: str, history: i
     come in order over micro-batches; within one they are put in order, for which a task holds a class's entries of the
     micro-batch. Feed them by `in_ranges` to bound these.
     """
-    import math
-
     kind = entries.schema[cls].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], float)
         rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for at, e, joins in zip(rows[order], rows[error], rows[learns] if learns else [True] * len(rows)):
-            if len(held) < least:
-                m = 1.0
-            else:
-                last = held[-recent:]
-                m = min(max(math.exp(sensitivity * ((sum(last) / len(last)) / (sum(held) / len(held)) - 1)), low), high)
-            out.append((key[0], int(at), m))
-            held = [*held, float(e)][-history:] if joins else held
-        state.update((held,))
-        yield pd.DataFrame(out, columns=[cls, "batch", "multiplier"])
+        joins = rows[learns].fillna(False).to_numpy(bool) if learns else np.ones(len(rows), bool)
+        all_of = np.concatenate([held, rows[error].to_numpy(float)[joins]])
+        end = len(held) + np.cumsum(joins) - joins  # errors that an entry finds
+        sums = np.concatenate([[0.0], np.cumsum(all_of)])
+        mean = lambda k: (sums[end] - sums[np.maximum(end - k, 0)]) / np.maximum(np.minimum(end, k), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            m = np.clip(np.exp(sensitivity * (mean(recent) / mean(history) - 1)), low, high)
+        state.update((all_of[-history:].tolist(),))
+        m = np.where((np.minimum(end, history) < least) | np.isnan(m), 1.0, m)
+        yield pd.DataFrame({cls: [key[0]] * len(rows), "batch": rows[order].to_numpy(), "multiplier": m})
 
     return entries.groupBy(cls).applyInPandasWithState(step, f"{cls} {kind}, {ENTRY}", "errors array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -56,7 +55,7 @@ def in_ranges(entries: DataFrame, path: str, order: str, step: int) -> Iterator[
     """
     spark, all_of = entries.sparkSession, f"{path}-all"
     entries.withColumn("__range", F.floor(F.col(order) / step)).write.partitionBy("__range").parquet(all_of)
-    dealt = spark.read.schema(entries.schema.add("__range", "long")).parquet(all_of)
+    dealt = spark.read.schema(StructType([*entries.schema.fields]).add("__range", "long")).parquet(all_of)
     for at in sorted(r[0] for r in dealt.select("__range").distinct().collect()) or [0]:  # a row for each range
         dealt.where(F.col("__range") == at).select(entries.columns).write.mode("append").parquet(path)
         yield at
