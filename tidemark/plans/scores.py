@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import flux as fx
 from tidemark.operators import evaluate, losses, series, splits
@@ -132,6 +133,26 @@ def x_adaptive_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("class", "batch", F.round("multiplier", 6).alias("multiplier"))
 
 
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def x_shuffled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a stream by row offsets and bounded shuffle buffers; stopped after 150 rows and taken up again."""
+    import uuid
+
+    from tidemark.sources.row_stream import RowStream
+    from tidemark.streaming.adaptive import drained
+    from tidemark.streaming.checkpoints import fresh
+    from tidemark.streaming.shuffle import shuffled
+
+    at, rows = fresh(spark), table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows.write.parquet(f"{at}-in")
+    spark.dataSource.register(RowStream)
+    schema = StructType([*rows.schema.fields]).add("row_number", "long").add("lane", "integer")
+    for take in (150, 1 << 62):
+        stream = spark.readStream.format("tidemark_rows").schema(schema).options(path=f"{at}-in", marks="true", take=str(take)).load()
+        found = drained(shuffled(stream, 1_000), f"shuffled_{uuid.uuid4().hex}", at)
+    return found.select("doc_id", "lang", "source", "n_chars")
+
+
 _LEARNED = f"""WITH {_BATCHES}, e AS (SELECT sat || '/' || class AS class, batch, avg(error) AS error FROM b GROUP BY 1, 2),
 h AS (SELECT class, batch, count(error) OVER a AS n, avg(error) OVER a AS overall, avg(error) OVER l AS recent FROM e WHERE batch % 5 < 3
 WINDOW a AS (PARTITION BY class ORDER BY batch ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), l AS (PARTITION BY class ORDER BY batch ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),

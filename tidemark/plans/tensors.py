@@ -86,6 +86,16 @@ def a_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.received(long).select("sample", "key", F.round("weight", 6).alias("weight"))
 
 
+@query("""WITH i AS (SELECT vec_id, unnest(range(0, 64)) AS patch, unnest(embedding) AS v FROM embeddings),
+p AS (SELECT a.i AS patch, b.i AS other, abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1 AS is_near FROM range(0, 64) a(i), range(0, 64) b(i))
+SELECT vec_id, CAST(p.patch AS INTEGER) AS patch, count(*) FILTER (WHERE is_near) AS n_near, round(avg(CAST(v AS DOUBLE)) FILTER (WHERE is_near), 6) AS near, round(avg(CAST(v AS DOUBLE)) FILTER (WHERE NOT is_near), 6) AS far
+FROM i JOIN p ON p.other = i.patch GROUP BY vec_id, p.patch""")
+def a_neighbourhood_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means over a patch's neighbours and over all others, as local and inverted attention see them."""
+    found = grids.neighbourhood_means(_images(spark, sf_dir), "vec_id", "embedding", 8, 3)
+    return found.select("vec_id", "patch", "n_near", F.round("near", 6).alias("near"), F.round("far", 6).alias("far"))
+
+
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, max(value) AS value FROM events GROUP BY 1, 2), w AS (SELECT hour, max(CASE WHEN event_type = 'click' THEN value END) AS a, max(CASE WHEN event_type = 'view' THEN value END) AS b FROM h GROUP BY hour) SELECT hour, a, b FROM w WHERE a IS NOT NULL AND b IS NOT NULL")
 def s_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels that meet at an hour, one after another."""
