@@ -96,6 +96,23 @@ def a_neighbourhood_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "patch", "n_near", F.round("near", 6).alias("near"), F.round("far", 6).alias("far"))
 
 
+@query("""SELECT vec_id // 64 AS block, CAST(count(*) AS INTEGER) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS total
+FROM embeddings WHERE (vec_id // 64) % 4 = 1 GROUP BY 1""")
+def s_image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 vectors a file as FITS images, published together; a scan that reads the pixels of those that pass a filter."""
+    from tidemark.sources import file_sink, fits
+    from tidemark.streaming.checkpoints import fresh
+
+    path, block = f"{fresh(spark)}-fits", F.floor(F.col("vec_id") / 64)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])  # 64 at most
+    rows = _images(spark, sf_dir).groupBy(block.alias("block")).agg(F.flatten(lines).alias("px"))
+    rows = rows.withColumns({"name": F.concat(F.col("block").cast("string"), F.lit(".fits")), "quality": F.col("block") % 4})
+    file_sink.written(fits.as_files(rows, "name", "px", 64, {"OBS_ID": "block", "QUALITY": "quality"}), path)
+    found = fits.images(spark, path, "OBS_ID long, QUALITY int, shape array<int>, pixels array<float>").where("QUALITY = 1")
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select(F.col("OBS_ID").alias("block"), F.col("shape")[0].alias("n"), F.round(total, 4).alias("total"))
+
+
 @query("WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, max(value) AS value FROM events GROUP BY 1, 2), w AS (SELECT hour, max(CASE WHEN event_type = 'click' THEN value END) AS a, max(CASE WHEN event_type = 'view' THEN value END) AS b FROM h GROUP BY hour) SELECT hour, a, b FROM w WHERE a IS NOT NULL AND b IS NOT NULL")
 def s_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels that meet at an hour, one after another."""
