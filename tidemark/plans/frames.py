@@ -202,6 +202,20 @@ def w_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.thinned(rows, "o", "t", "event_type", F.substring(F.col("o").getField("stem"), 1, 10)).select("event_type", "event_id")
 
 
+@query("SELECT event_type AS sat, event_id, value AS flux FROM events")
+def s_record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sensor file for each series and day; a scan by ranges of 1,000 records that leaves the times unread."""
+    from tidemark.sources import file_sink, records
+    from tidemark.streaming.checkpoints import fresh
+
+    path, day = f"{fresh(spark)}-records", F.date_format("ts", "yyyy-MM-dd")
+    rows = table(spark, sf_dir, "events").groupBy("event_type", day.alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"))
+    rows = rows.select(F.concat_ws("/", "event_type", F.concat("day", F.lit(".nc"))).alias("name"), F.transform("x.ts", lambda t: F.unix_micros(t.cast("timestamp"))).alias("time"), F.col("x.event_id").alias("event_id"), F.col("x.value").alias("flux"))
+    file_sink.written(records.as_files(rows, "name", {"time": "time", "flux": "flux", "event": "event_id"}), path)
+    found = records.records(spark, path, "file string, event long, flux double", records_per_task=1_000)
+    return found.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("sat"), F.col("event").alias("event_id"), "flux")
+
+
 @query("""WITH RECURSIVE k AS (SELECT event_type, min(ts) AS t FROM events GROUP BY event_type
 UNION ALL SELECT k.event_type, min(e.ts) FROM k JOIN events e ON e.event_type = k.event_type AND e.ts >= k.t + INTERVAL 1 HOUR GROUP BY k.event_type)
 SELECT k.event_type AS event_type, min(event_id) AS event_id FROM k JOIN events e ON e.event_type = k.event_type AND e.ts = k.t GROUP BY k.event_type, k.t""")
