@@ -262,6 +262,17 @@ def w_learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1200).select(F.col("id").alias("e"), F.round(series.cosine_restarts(F.col("id").cast("double"), 0.001), 9).alias("lr"))
 
 
+@query("""WITH d AS (SELECT date_diff('day', (SELECT CAST(min(o_orderdate) AS DATE) FROM orders), CAST(o_orderdate AS DATE)) AS e, o_totalprice FROM orders)
+SELECT CAST(e AS BIGINT) AS epoch, count(*) AS steps, round(1e-7 + (0.001 - 1e-7) * (1 + cos(pi() * CASE WHEN e < 250 THEN e / 250.0 WHEN e < 750 THEN (e - 250) / 500.0 WHEN e < 1750 THEN (e - 750) / 1000.0 ELSE (e - 1750) / 2000.0 END)) / 2, 9) AS lr
+FROM d GROUP BY e""")
+def w_learning_rate_of_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of orders as epochs, each with its steps and its learning rate."""
+    orders = table(spark, sf_dir, "orders")
+    first = orders.agg(F.to_date(F.min("o_orderdate")).alias("first"))
+    epochs = orders.crossJoin(F.broadcast(first)).groupBy(F.date_diff(F.to_date("o_orderdate"), "first").cast("long").alias("epoch")).agg(F.count("*").alias("steps"))  # one row
+    return epochs.withColumn("lr", F.round(series.cosine_restarts(F.col("epoch").cast("double"), 0.001), 9))
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-12-01' THEN 'train' WHEN o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' THEN 'val' WHEN o_orderdate >= TIMESTAMP '1999-02-01' AND o_orderdate < TIMESTAMP '2001-09-01' THEN 'test' END AS split,
 CASE WHEN month(o_orderdate) = 8 THEN 'test' WHEN month(o_orderdate) BETWEEN 1 AND 3 THEN 'val' ELSE 'train' END AS by_month FROM orders""")
 def p_split(spark: SparkSession, sf_dir: str) -> DataFrame:

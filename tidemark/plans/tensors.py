@@ -79,6 +79,31 @@ def t_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("""WITH i AS (SELECT vec_id, unnest(range(0, 64)) AS key, unnest(embedding) AS v FROM embeddings),
+p AS (SELECT a.i AS query, b.i AS key FROM range(0, 64) a(i) JOIN range(0, 64) b(i) ON abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1)
+SELECT vec_id, query, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 5) AS total FROM i JOIN p ON p.key = i.key GROUP BY vec_id, query""")
+def j_neighbour_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each patch joined with its neighbours: a grid's pairs are a table of fixed size."""
+    each = _images(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("key", "v"))
+    near = each.join(F.broadcast(grids.neighbours(spark, 8, 3)), "key")
+    return near.groupBy("vec_id", "query").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double")), 5).alias("total"))
+
+
+@query("""WITH i AS (SELECT vec_id, unnest(range(0, 64)) AS query, unnest(embedding) AS v FROM embeddings),
+l AS (SELECT a.i AS query, count(*) AS n FROM range(0, 64) a(i) JOIN range(0, 64) b(i) ON abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1 GROUP BY a.i),
+m AS (SELECT query, 'local' AS mode, 64 - n AS n_masked FROM l UNION ALL SELECT query, 'inverted', n FROM l UNION ALL SELECT query, 'none', 0 FROM l)
+SELECT vec_id, mode, CAST(sum(n_masked) FILTER (WHERE v > 0) AS BIGINT) AS hidden_from_positive FROM i JOIN m ON m.query = i.query GROUP BY vec_id, mode""")
+def t_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys each mask hides from the patches of an image that are above zero."""
+    masks = None
+    for mode in grids.MODES:
+        rows = grids.mask_rows(spark, 8, 3, mode).select("query", F.lit(mode).alias("mode"), "n_masked")
+        masks = rows if masks is None else masks.union(rows)
+    each = _images(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("query", "v"))
+    found = each.join(F.broadcast(masks), "query")  # a row for each patch of the grid and mode
+    return found.groupBy("vec_id", "mode").agg(F.sum(F.when(F.col("v") > 0, F.col("n_masked"))).alias("hidden_from_positive"))
+
+
 @query("WITH i AS (SELECT label, embedding, unnest(range(0, 64)) AS j FROM embeddings) SELECT label AS sample, j % 16 AS key, round(avg(CAST(embedding[j + 1] AS DOUBLE)), 6) AS weight FROM i GROUP BY 1, 2")
 def a_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _images(spark, sf_dir).select("label", F.posexplode("embedding").alias("at", "w"))
