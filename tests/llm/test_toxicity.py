@@ -86,3 +86,13 @@ def test_edges(spark):
         assert all(0 <= r.score <= 1 for r in toxicity.scored(docs, toxicity.fit(docs, few)).collect())
     assert toxicity.scored(docs.limit(0), model).collect() == []
     assert toxicity.fit(docs, labels, F.lit(False)).table.any() == np.False_
+
+
+def test_a_repeated_id_teaches_once(spark):
+    """One id has most rows; the training task gets one of them, so the sample stays bounded."""
+    docs = spark.createDataFrame([(1, f"vexing text {i}") for i in range(3_000)] + [(i, "vexing words" if i % 2 else "plain words") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.score("vexing") > 0.3 > model.score("plain")
+    few = toxicity.fit(docs, labels, sample=(2, 2))
+    assert np.isfinite(few.table).all()

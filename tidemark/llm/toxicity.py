@@ -172,10 +172,10 @@ def _windows(text: str) -> list[list[str]]:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
     """A model of the documents that labels mark with 0 or 1 and where `learn` holds (all, if none is given). Null ids,
-    texts and labels teach nothing; of several labels of one id the largest counts."""
+    texts and labels teach nothing; of several labels of one id the largest counts, of several rows of one id one."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     rows = docs.where(F.lit(True) if learn is None else learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    counts = {r.label: r.n for r in rows.select("id").join(marks, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r.label: r.n for r in rows.select("id").distinct().join(marks, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, sample[0] / counts.get(1, 1))).otherwise(min(1.0, sample[1] / counts.get(0, 1)))
     # about sum(sample) rows, whatever the input, so that texts stay where they are
     chosen = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20) < share)
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
 
     kind = rows.schema["id"].dataType.simpleString()
     some = rows.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(cut_up, f"one int, id {kind}, windows string, label int")
+    some = some.groupBy("one", "id").agg(F.min("windows").alias("windows"), F.max("label").alias("label"))  # one row of an id
     found = some.groupBy("one").applyInArrow(learned, "table binary, bias double").collect()  # one model of a fixed size
     return Model(np.frombuffer(found[0].table, np.float32), found[0].bias) if found else train([], np.zeros(0))
 
