@@ -31,6 +31,8 @@ from tidemark.llm.components import joined
 RUN, FAN, BLOCK = 512, 64, 512
 #: Nodes and ends that a task holds before it sends them; depths that one task sums.
 HELD, DEPTHS = 1 << 17, 1 << 16
+#: Runs of one conversation whose hashes one task folds; the folded blocks are a row each.
+TOGETHER = 4096
 WIDTH = 16
 _MASK, _BASES = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -124,6 +126,11 @@ def _steps(state: tuple[int, int], digests: bytes) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
+def _after(state: tuple[int, int], n: int, more: tuple[int, int]) -> tuple[int, int]:
+    """The rolling hash after n further turns whose own hash is `more`; signed or not."""
+    return tuple((s * pow(base, n, 1 << 64) + m) & _MASK for s, base, m in zip(state, _BASES, more))
+
+
 def _node(state: tuple[int, int]) -> bytes:
     return state[0].to_bytes(8, "little") + state[1].to_bytes(8, "little")
 
@@ -142,16 +149,32 @@ def hashed(found: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names=["conv_id", "own", "n", "a", "b"])
 
     def fold(t: pa.Table) -> pa.Table:
-        t, a, b, out = t.sort_by("own"), 0, 0, []
-        for own, n, x, y in zip(*(t[c].to_pylist() for c in ("own", "n", "a", "b"))):
-            out.append((own, _signed(a), _signed(b)))
-            a, b = (a * pow(_BASES[0], n, 1 << 64) + x) & _MASK, (b * pow(_BASES[1], n, 1 << 64) + y) & _MASK
-        own, a, b = (pa.array(x, pa.int64()) for x in zip(*out))
-        return pa.table({"conv_id": t["conv_id"], "own": own, "a": a, "b": b, "last": pa.array([False] * (len(t) - 1) + [True])})
+        """Where each row's hash begins, and what the rows come to in all, in a row of its own."""
+        t, n, a, b, out = t.sort_by("own"), 0, 0, 0, []
+        for own, k, x, y in zip(*(t[c].to_pylist() for c in ("own", "n", "a", "b"))):
+            out.append((own, n, _signed(a), _signed(b), False))
+            n, a, b = n + k, *_after((a, b), k, (x, y))
+        out.append((out[0][0], n, _signed(a), _signed(b), True))
+        columns = [pa.array(x) for x in zip(*out)]
+        conv, block = (pa.array([t[c][0].as_py()] * len(out), pa.int64()) for c in ("conv_id", "block"))
+        return pa.table([conv, block, *columns], names=["conv_id", "block", "own", "n", "a", "b", "all"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hash before a run: that before its block, then that of the block's runs before it."""
+        for batch in batches:
+            conv, own, n, a, b, x, y, last = (c.to_pylist() for c in batch.columns)
+            ends = [_after((x[i], y[i]), n[i], (a[i], b[i])) for i in range(batch.num_rows)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([_signed(e[k]) for e in ends], pa.int64()) for k in (0, 1)), batch.column(7)], names=["conv_id", "own", "a", "b", "last"])
 
     parts = found.where(~F.col("whole"))
-    before = parts.select("conv_id", "own", "digests").mapInArrow(each, "conv_id long, own long, n long, a long, b long")
-    before = before.groupBy("conv_id").applyInArrow(fold, "conv_id long, own long, a long, b long, last boolean")  # a row for each run
+    kinds, folded = "conv_id long, own long, n long, a long, b long", "conv_id long, block long, own long, n long, a long, b long, all boolean"
+    each_run = parts.select("conv_id", "own", "digests").mapInArrow(each, kinds).withColumn("block", F.floor(F.col("own") / (RUN * TOGETHER)))
+    inside = cut(each_run.groupBy("conv_id", "block").applyInArrow(fold, folded))  # TOGETHER runs or some more
+    blocks = inside.where("all").select("conv_id", F.col("block").alias("own"), "n", "a", "b", F.lit(0).cast("long").alias("block"))
+    before_block = blocks.groupBy("conv_id").applyInArrow(fold, folded).where("NOT all").select("conv_id", F.col("own").alias("block"), F.col("a").alias("x"), F.col("b").alias("y"))  # a row for each block
+    ends = inside.where("NOT all").groupBy("conv_id").agg(F.max("own").alias("end"))
+    runs_of = inside.where("NOT all").join(before_block, ["conv_id", "block"]).join(ends, "conv_id")
+    before = runs_of.select("conv_id", "own", "n", "a", "b", "x", "y", (F.col("own") == F.col("end")).alias("last")).mapInArrow(placed, "conv_id long, own long, a long, b long, last boolean")
     alone = found.where("whole").select("*", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("last"))
     return alone.unionByName(parts.join(before, ["conv_id", "own"])).drop("whole")
 
