@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import similar
 
@@ -134,3 +135,16 @@ def test_contracted_links_join_the_same(spark):
 
     assert parts(found) == parts(links) and all(a < b for a, b in found)
     assert len(found) < len(links) / 5 and similar.contracted(rows.limit(0)).count() == 0
+
+
+def test_sets_go_out_to_cells_that_are_apart(spark, monkeypatch):
+    """Near copies of one text in many cells: after two tables of cells nearly nothing is left to send, and what a plain
+    check of all pairs joins is joined."""
+    rows = copies(np.random.default_rng(6), 240, 4) + [(1000 + d, t.replace("w", "v")) for d, t in copies(np.random.default_rng(7), 60, 9)]
+    monkeypatch.setattr(similar, "CELL_TEXTS", 8)
+    sent, linked = [], similar._linked
+    monkeypatch.setattr(similar, "_linked", lambda asked, *rest: sent.append(asked.agg(F.sum(F.size("cells"))).first()[0] or 0) or linked(asked, *rest))
+    found = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = groups_of(rows, alike_pairs(rows))
+    assert all(want[d] == want[c] for d, c in found.items()) and sum(found[d] == c for d, c in want.items()) >= 0.98 * len(rows)
+    assert len(sent) <= 3 and sum(sent) < 4 * len(rows), sent

@@ -137,8 +137,36 @@ def _slice(table: Column, bits: Column) -> Column:
 
 
 def exact_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) pairs of sets of a neighbourhood whose links join all that are alike and share a cell of the exact check."""
-    asked = members.select(F.col("own").alias("id"), "same", _exact_cells(similarity).alias("cells"))
+    """(a, b) pairs of sets of a neighbourhood whose links join all that are alike and share a cell of the exact check.
+
+    A set is many times a cell's name, so sets go out table by table: first those of the first table of cells, then those
+    of the second, then of all others; and from the second on only to cells whose members the links so far leave apart.
+    A cell whose members are joined already could give no link that joins more. Copies of one text are joined after two
+    tables, however many there are.
+    """
+    asked = cut(members.select(F.col("own").alias("id"), "same", _exact_cells(similarity).alias("cells")))
+    tables = asked.agg(F.max(F.size("cells"))).first()[0] or 1
+    links = cut(_linked(asked.withColumn("cells", F.slice("cells", 1, 1)), docs, id_col, text_col, shingle, similarity))
+    for first, n in ((1, 1), (2, tables)):
+        if first < tables:
+            apart = _apart(asked.where(F.size("cells") > first).withColumn("cells", F.slice("cells", first + 1, n)), links)
+            if apart.isEmpty():
+                continue
+            links = cut(links.union(_linked(apart, docs, id_col, text_col, shingle, similarity)))
+    return links
+
+
+def _apart(asked: DataFrame, links: DataFrame) -> DataFrame:
+    """asked with those of its cells that have members of more than one component of the links; rows without any go."""
+    each = asked.select("id", "same", F.explode("cells").alias("cell"))
+    each = cut(each.join(components(links, "a", "b"), F.col("same") == F.col("node"), "left").select("id", "same", "cell", F.coalesce("root", "same").alias("root")))
+    open_ = each.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("times")).where("low <> high").select("cell", "times")
+    left = joined(each, open_, "cell", each.count())
+    return cut(left.groupBy("id", "same").agg(F.collect_set("cell").alias("cells")))  # at most one for each table
+
+
+def _linked(asked: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) links in the cells that are asked for: a spanning forest of each."""
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).join(asked, "id").select("same", "cells", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
