@@ -21,6 +21,7 @@ NAMES = [
     "a_losses",
     "a_class_errors",
     "w_adaptive_weights",
+    "x_train_only_state",
 ]
 
 
