@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import attention, training, transformer
 from tidemark.operators.attention import Mask
-from tidemark.operators.transformer import Weights, erf, forward, loss_and_gradients
+from tidemark.operators.transformer import BATCH_BYTES, Weights, erf, forward, loss_and_gradients
 from tidemark.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -64,6 +64,17 @@ def test_the_reference_size_fits_in_memory():
     assert w.at_once() < 12 and Weights.seeded(4, 4, 2, 16, 32, 2, 4, -5.0, 0.5).at_once() > 1_000
 
 
+def test_a_batch_holds_no_more_than_its_bytes():
+    """All arrays of a layer count, not the largest one only."""
+    for w in (Weights.seeded(4, 4, 2, 16, 32, 2, 4, -5.0, 0.5), Weights.seeded(3, 32, 4, 32, 64, 2, 4, -5.0, 0.5)):
+        x = np.random.default_rng(0).standard_normal((min(w.at_once(), 10_000), w.channels * w.side**2))
+        tracemalloc.start()
+        forward(x, w)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.5 * BATCH_BYTES
+
+
 def test_erf():
     x = np.r_[np.linspace(-8, 8, 4_001), 0.0, -0.0, np.inf, -np.inf]
     assert np.abs(erf(x) - np.array([math.erf(v) for v in x])).max() < 1e-12 and np.isnan(erf(np.array([np.nan])))[0]

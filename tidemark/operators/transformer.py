@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.functions.flux import MARGIN
-from tidemark.operators.attention import Mask, attend, backward, received
+from tidemark.operators.attention import BLOCK, Mask, attend, backward, received
 
 SCHEMA = "total double, flux array<double>, attention array<double>"
-#: Bytes of a layer's largest array that a task takes at once.
-BATCH_BYTES = 64 << 20
+#: Bytes of all arrays of a layer that a task takes at once.
+BATCH_BYTES = 32 << 20
 LOW, HIGH = 1e-15, 1.0
 
 
@@ -55,9 +55,12 @@ class Weights:
         return Weights(arrays, channels, side, patch, heads, layers, mean, std, hidden, mode, window)
 
     def at_once(self) -> int:
-        """Images of a batch."""
-        widest = max(a.shape[-1] for k, a in self.arrays.items() if a.ndim == 2)
-        return max(1, BATCH_BYTES // ((self.side // self.patch) ** 2 * widest * 8))
+        """Images of a batch, by what a layer holds of one: its input and output, norms and heads (13 widths a patch), the
+        hidden width with what erf needs (12 of them), blocks of scores (3), and the pixels, flat and by patch."""
+        n, dim = self.arrays["position"].shape
+        hidden = max((self.arrays[f"{i}.up"].shape[1] for i in range(self.layers)), default=0)
+        values = n * (13 * dim + 12 * hidden) + 3 * self.heads * min(n, BLOCK) ** 2 + 2 * self.channels * self.side**2
+        return max(1, BATCH_BYTES // (values * 8))
 
 
 def patched(x: np.ndarray, channels: int, side: int, patch: int) -> np.ndarray:
