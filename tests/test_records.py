@@ -98,3 +98,16 @@ def test_files_of_rows(spark, tmp_path):
     assert len(files) == 1 and np.isnan(records.values(reading(data), [records.header(reading(data), len(data)).variables["v"]], 0, 2)[0][1])
     reader = records.RecordReader(_parse_datatype_string(COLUMNS), {"path": str(tmp_path)})
     assert [p.file for p in reader.partitions()] == [""]
+
+
+def test_many_ranges_are_a_bounded_number_of_tasks(spark, tmp_path):
+    """More ranges than maxTasks: neighbours of a file are read as one, whole and in order; damaged files stay rows."""
+    for i, n in enumerate((250, 0, 37, 110)):
+        (tmp_path / f"{i}.nc").write_bytes(records.encoded(sample(n, i)))
+    (tmp_path / "1b.nc").write_bytes(b"CDF")
+    reader = lambda **o: records.RecordReader(_parse_datatype_string(COLUMNS), {"path": str(tmp_path), "recordsPerTask": "10", **o})
+    assert len(reader().partitions()) == 25 + 4 + 11 + 1
+    few = reader(maxTasks="6").partitions()
+    assert len(few) == 6 and [(r.begin, r.end) for r in few[0].ranges] == [(0, 70)]
+    rows = lambda r: [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]
+    assert rows(reader(maxTasks="6")) == rows(reader()) and len(rows(reader(maxTasks="1"))) == 250 + 37 + 110 + 1

@@ -4,7 +4,7 @@
     spark.read.format("tidemark_records").schema("file string, record long, time double, xrsb_flux double").load(folder)
 
 Planning reads headers only and cuts each file's records into ranges of `recordsPerTask`, so one large file is many tasks'
-work. A task reads the bytes of the asked variables in its range: a record's stretch of them, with gaps of at most GAP
+work; where there would be more than `maxTasks` (TASKS) of them, a task takes several ranges one after another. A task reads the bytes of the asked variables in its range: a record's stretch of them, with gaps of at most GAP
 bytes, or all of the range at once where nothing larger lies between. Columns: `file`, `record`, and variables along the record dimension (the
 unlimited one, or the dimension named by the option `along`); a variable of more dimensions is an array. Values equal to
 _FillValue or missing_value are null; scale_factor and add_offset are applied to columns of float or double. A variable
@@ -30,6 +30,7 @@ from tidemark.sources.file_sink import opened
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
 GAP, OWN = 4096, ("file", "record", "error")
+TASKS = 512
 
 
 @dataclass
@@ -207,7 +208,11 @@ def encoded(variables: dict[str, np.ndarray], attributes: dict[str, dict] | None
         begins[k], at = at, at + space[k]
     big = {k: a.astype(a.dtype.newbyteorder(">")) for k, a in variables.items()}
     if unlimited:
-        return whole(begins) + b"".join(big[k][i : i + 1].tobytes().ljust(space[k], b"\0") for i in range(n) for k in variables)
+        lines, place = np.zeros((n, sum(space.values())), np.uint8), 0
+        for k in variables if n else ():
+            lines[:, place : place + size[k]] = np.frombuffer(big[k].tobytes(), np.uint8).reshape(n, size[k])
+            place += space[k]
+        return whole(begins) + lines.tobytes()
     return whole(begins) + b"".join(big[k].tobytes().ljust(space[k], b"\0") for k in variables)
 
 
@@ -216,6 +221,29 @@ class Range(ds.InputPartition):
         self.file, self.begin, self.end, self.error = file, begin, end, error
 
 
+class Ranges(ds.InputPartition):
+    """What one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def dealt(ranges: list[Range], most: int) -> list[Range | Ranges]:
+    """Neighbouring ranges dealt to at most so many tasks; those that follow on in a file become one."""
+    if len(ranges) <= most:
+        return list(ranges)
+    each, out = -(-len(ranges) // most), []
+    for at in range(0, len(ranges), each):
+        held: list[Range] = []
+        for r in ranges[at : at + each]:
+            if held and held[-1].file == r.file and held[-1].end == r.begin and held[-1].error is None and r.error is None:
+                held[-1] = Range(r.file, held[-1].begin, r.end)
+            else:
+                held.append(r)
+        out.append(Ranges(held))
+    return out
+
+
 class RecordScan(ds.DataSource):
     @classmethod
     def name(cls) -> str:
@@ -229,6 +257,7 @@ class RecordReader(ds.DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.path, self.along = to_arrow_schema(schema), options["path"], options.get("along")
         self.per_task = int(options.get("recordspertask", options.get("recordsPerTask", 1 << 20)))
+        self.tasks = max(1, int(options.get("maxtasks", options.get("maxTasks", TASKS))))
 
     def _reading(self, at, file: str):
         f = at.open_input_file(file)
@@ -239,7 +268,7 @@ class RecordReader(ds.DataSourceReader):
 
         return f, read
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Range | Ranges]:
         from pyarrow import fs
 
         at, folder = opened(self.path)
@@ -252,9 +281,13 @@ class RecordReader(ds.DataSourceReader):
                     out += [Range(f.path, a, min(a + self.per_task, n)) for a in range(0, n, self.per_task)]
                 except (ValueError, KeyError, OSError, UnicodeDecodeError) as e:
                     out += [Range(f.path, 0, 0, str(e)[:200])] if "error" in self.schema.names else []
-        return out or [Range("", 0, 0)]
+        return dealt(out or [Range("", 0, 0)], self.tasks)
+
+    def read(self, partition: Range | Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if isinstance(partition, Ranges) else [partition]:
+            yield from self._read(part)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.file:
             return
         error = part.error
