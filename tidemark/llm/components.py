@@ -1,14 +1,21 @@
-"""Connected components of a large graph by alternating star contractions."""
+"""Connected components of a large graph by alternating star contractions; a small one is folded at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidemark.llm.common import cut
 
 #: A key with more than this share of all rows is hot, so there are fewer than 1 / SHARE such keys; but FEW rows never are.
 SHARE, FEW = 0.001, 256
+#: A graph of at most so many edges (4 MB) needs no rounds.
+SMALL = 1 << 18
 
 
 def _most(total: int) -> int:
@@ -44,13 +51,44 @@ def _small_star(edges: DataFrame, count: int, hot: bool) -> DataFrame:
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a graph in order, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _folded(edges: DataFrame) -> DataFrame:
+    """(node, root) of a graph of at most SMALL edges, in one task of a few MB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+        if held:
+            nodes, roots = roots_of(*map(np.concatenate, zip(*held)))
+            yield pa.record_batch([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that an edge touches; root is the least node of its component.
 
     Nulls and loops are left out. Each round halves the depth or better; its result goes to the shared folder. Minima are
     combined before they are shuffled, and a star's centre with a large share of the edges is never a key of a shuffle.
+    A round costs some ten stages however few edges there are, so a graph of at most SMALL edges between longs is folded
+    in one task instead; a larger one never is.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    if now.schema["u"].dataType == LongType() and now.count() <= SMALL:
+        return _folded(now)
     for _ in range(most_rounds):
         count, unfinished, most = _state(now)
         if not unfinished:
