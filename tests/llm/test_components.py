@@ -42,7 +42,7 @@ def test_no_edges(spark):
 
 
 def test_small_graph_takes_few_jobs(spark):
-    """A path took some 20 jobs by rounds, each of as many tasks as a shuffle has partitions."""
+    """A path took 97 jobs by rounds (SMALL = 0), each stage of as many tasks as a shuffle has partitions."""
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     status, group = spark.sparkContext.statusTracker(), "small-graph"
     spark.sparkContext.setJobGroup(group, group)

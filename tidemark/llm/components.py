@@ -83,7 +83,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
 
     Nulls and loops are left out. Each round halves the depth or better; its result goes to the shared folder. Minima are
     combined before they are shuffled, and a star's centre with a large share of the edges is never a key of a shuffle.
-    A round costs some ten stages however few edges there are, so a graph of at most SMALL edges between longs is folded
+    A round costs several stages however few edges there are, so a graph of at most SMALL edges between longs is folded
     in one task instead; a larger one never is.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
